@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import encode, history, leaks, lookalike, pieces
-from weftline.session import table
+from weftline.llm import boilerplate, encode, history, leaks, lookalike, pieces, residue
+from weftline.session import table, through_table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,6 +25,22 @@ def p2_accepted(spark: SparkSession, sf: str) -> DataFrame:
     return history.dedupe_batches(table(spark, sf, "feed_items"))[1]
 
 
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return through_table(boilerplate.article_parts(table(spark, sf, "fetch_results"), table(spark, sf, "sources")), "parts")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.block_hashes(_parts(spark, sf), residue.residue_pages)
+
+
+def p3_articles(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.articles(_parts(spark, sf))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_pages(_parts(spark, sf))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -45,7 +61,7 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", lookalike.canonical(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_accepted, p6_ids, p7_found, p7_clean, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_accepted, p3_found, p3_articles, p4_found, p6_ids, p7_found, p7_clean, p8_found, p8_canonical)}
 
 SQL = {
     "p1_found": """
