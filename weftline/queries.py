@@ -2,22 +2,474 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.functions import robots as rb
+from weftline.functions import text as tx
+from weftline.functions import urls as ur
+from weftline.operators import extract, flow
+from weftline.operators import markdown as md
 from weftline.operators.instants import DateField, normalise_instants
-from weftline.session import table
+from weftline.plans import pipelines as pl
+from weftline.session import table as T  # noqa: N812
+from weftline.sources import readers as rd
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+NOW = "2025-02-01 00:00:00"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    t = lambda name: table(spark, sf, name)
+@query()
+def p5_found(s: SparkSession, sf: str) -> DataFrame:
     fields = [
-        DateField(t("feed_items"), "item_no", "published_date_utc", "source_name"),
-        DateField(t("sitemap_entries"), "entry_id", "lastmod_utc", "source_name", repeats=True),
-        DateField(t("domain_registry"), "domain", "last_modified", repeats=True),
-        DateField(t("article_infos"), "info_id", "date", "source_name"),
+        DateField(T(s, sf, "feed_items"), "item_no", "published_date_utc", "source_name"),
+        DateField(T(s, sf, "sitemap_entries"), "entry_id", "lastmod_utc", "source_name", repeats=True),
+        DateField(T(s, sf, "domain_registry"), "domain", "last_modified", repeats=True),
+        DateField(T(s, sf, "article_infos"), "info_id", "date", "source_name"),
     ]
-    return normalise_instants(fields, t("source_zones"))
+    return normalise_instants(fields, T(s, sf, "source_zones"))
 
 
-QUERIES = {"p5_found": p5_found}
-SQL: dict[str, str] = {}
+# -- links and URLs ------------------------------------------------------------------------------------------------------
+
+_AUTH = "nullif(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '')"
+_DEPTH = "len(list_filter(string_split(regexp_replace(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda p: p <> ''))"
+_WORDS = "(" + " + ".join(f"CAST(contains(lower({{0}}), '{k}') AS INT)" for k in ur.LINK_KEYWORDS) + ")"
+_SCORE = f"round((0.6::DOUBLE * ({_WORDS} / 32.0::DOUBLE) + 0.4::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + abs({_DEPTH} - 3)))) / 2.0::DOUBLE, 9)"
+_LINKS = rf"""
+    WITH h AS (SELECT DISTINCT page_id, url AS base, unnest(regexp_extract_all(html, '{flow.HREF}', 1)) AS href FROM fetch_results WHERE html IS NOT NULL),
+    r AS (SELECT page_id, href, CASE WHEN regexp_matches(trim(href), '^[A-Za-z][A-Za-z0-9+.-]*://') THEN trim(href)
+          WHEN trim(href) LIKE '//%' THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || trim(href)
+          WHEN trim(href) LIKE '/%' THEN nullif(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '') || trim(href) END AS url FROM h),
+    l AS (SELECT DISTINCT page_id, url FROM r WHERE NOT regexp_matches(href, '^(javascript:|mailto:|#)') AND {_AUTH.format('url')} IS NOT NULL AND NOT regexp_matches(url, '{ur.EXCLUDED}'))
+"""
+
+
+@query(_LINKS + f", s AS (SELECT page_id, url, {_SCORE.format('url')} AS score FROM l) SELECT page_id, url, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS INT) AS rank FROM s) WHERE rank <= 10")
+def page_links_topk(s: SparkSession, sf: str) -> DataFrame:
+    return flow.top_links(flow.page_links(T(s, sf, "fetch_results")))
+
+
+@query(_LINKS + "SELECT page_id, count(*) AS links FROM l GROUP BY page_id")
+def page_link_counts(s: SparkSession, sf: str) -> DataFrame:
+    return flow.page_links(T(s, sf, "fetch_results")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(f"SELECT {_AUTH.format('link')} AS authority, count(*) AS items FROM feed_items GROUP BY 1")
+def url_authority_counts(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "feed_items").groupBy(ur.authority(F.col("link")).alias("authority")).agg(F.count(F.lit(1)).alias("items"))
+
+
+@query(r"""SELECT item_no, CASE WHEN coalesce(link, '') = '' THEN 'untitled' ELSE left(regexp_replace(regexp_replace(regexp_replace(link, '^https?://', ''), '[/:?*"<>|]', '_', 'g'), '[^\p{L}\p{N}_.\-]', '_', 'g'), 150) END AS file_name FROM feed_items""")
+def url_sanitize(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "feed_items").select("item_no", ur.sanitize_filename(F.col("link")).alias("file_name"))
+
+
+@query(f"SELECT item_no, {_SCORE.format('link')} AS score FROM feed_items WHERE link IS NOT NULL")
+def url_score(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "feed_items").filter("link is not null").select("item_no", ur.link_score(F.col("link")).alias("score"))
+
+
+@query()
+def url_resolve(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "feed_items").select("item_no", ur.resolve_any(F.col("source_feed_url"), F.col("link")).alias("url"))
+
+
+@query("SELECT DISTINCT source_sitemap_url, 'Sitemap: ' || string_split(regexp_replace(regexp_replace(source_sitemap_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/')[-1] AS title FROM sitemap_entries WHERE source_sitemap_url IS NOT NULL")
+def sitemap_titles(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "sitemap_entries").filter("source_sitemap_url is not null").select("source_sitemap_url", ur.sitemap_title(F.col("source_sitemap_url")).alias("title")).distinct()
+
+
+# -- queue and sources -----------------------------------------------------------------------------------------------------
+
+
+def _queue(s: SparkSession, sf: str) -> DataFrame:
+    a = T(s, sf, "feed_items").select("id", "link", "title", "source_name", F.col("item_no").alias("arrival"))
+    b = T(s, sf, "sitemap_entries").select(F.col("loc").alias("link"), "source_name", F.col("entry_id").alias("arrival"))
+    c = T(s, sf, "article_infos").select("link", "title", "source_name", F.col("info_id").alias("arrival"))
+    return flow.union_producers(a, b, c)
+
+
+_QUEUE = """WITH q AS (SELECT id, link, title, source_name, item_no AS arrival, 0 AS producer FROM feed_items
+    UNION ALL SELECT NULL, loc, NULL, source_name, entry_id, 1 FROM sitemap_entries UNION ALL SELECT NULL, link, title, source_name, info_id, 2 FROM article_infos),
+    d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(link, ''), nullif(id, '')) ORDER BY producer, arrival) AS r FROM q WHERE coalesce(nullif(link, ''), nullif(id, '')) IS NOT NULL)
+"""
+
+
+@query(_QUEUE + "SELECT id, link, title, source_name, arrival, producer FROM d WHERE r = 1")
+def queue_first_wins(s: SparkSession, sf: str) -> DataFrame:
+    return flow.first_wins(_queue(s, sf), flow.seen_key(F.col("link"), F.col("id")), ["producer", "arrival"])
+
+
+@query(_QUEUE + "SELECT source_name, count(*) AS added FROM d WHERE r = 1 GROUP BY source_name")
+def items_added_per_source(s: SparkSession, sf: str) -> DataFrame:
+    return queue_first_wins(s, sf).groupBy("source_name").agg(F.count(F.lit(1)).alias("added"))
+
+
+@query(_QUEUE + ", o AS (SELECT link, producer, arrival FROM d WHERE r = 1 ORDER BY producer, arrival LIMIT 1000) SELECT * FROM o")
+def first_results_kept(s: SparkSession, sf: str) -> DataFrame:
+    return queue_first_wins(s, sf).select("link", "producer", "arrival").orderBy("producer", "arrival").limit(1000)
+
+
+@query(f"SELECT item_no FROM feed_items WHERE fetched_at IS NULL OR fetched_at >= TIMESTAMPTZ '{NOW}+00' - INTERVAL 10 DAY")
+def recency_kept(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "feed_items").filter(flow.recent(F.col("fetched_at"), F.lit(NOW).cast("timestamp"), 10)).select("item_no")
+
+
+@query(f"SELECT item_no FROM feed_items WHERE fetched_at >= TIMESTAMPTZ '{NOW}+00' - INTERVAL 240 HOUR")
+def recency_strict(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "feed_items").filter(flow.recent_strict(F.col("fetched_at"), F.lit(NOW).cast("timestamp"), 240)).select("item_no")
+
+
+@query(f"""WITH m AS (SELECT {_AUTH.format('link')} AS domain, source_feed_url AS feed FROM feed_items)
+    SELECT domain, array_to_string(list_sort(list(DISTINCT feed)), ' ') AS feeds FROM m WHERE domain IS NOT NULL AND lower(domain) NOT IN (SELECT lower({_AUTH.format('base_url')}) FROM sources WHERE {_AUTH.format('base_url')} IS NOT NULL) GROUP BY domain""")
+def new_source_domains(s: SparkSession, sf: str) -> DataFrame:
+    m = T(s, sf, "feed_items").select("link", F.col("source_feed_url").alias("feed"))
+    return flow.new_domains(m, T(s, sf, "sources")).select("domain", F.array_join("feeds", " ").alias("feeds"))
+
+
+@query("""SELECT item_no, f.source_name, s.base_url FROM feed_items f LEFT JOIN (SELECT name, min(base_url) AS base_url FROM sources GROUP BY name) s ON f.source_name = s.name""")
+def source_left_join(s: SparkSession, sf: str) -> DataFrame:
+    return flow.with_source(T(s, sf, "feed_items").select("item_no", "source_name"), T(s, sf, "sources")).select("item_no", "source_name", "base_url")
+
+
+@query("""SELECT name, coalesce(parser_config_name, parser_config) AS parser_config_name, coalesce(llm_analysis_pending, extraction_selectors IS NULL OR cardinality(extraction_selectors) = 0) AS llm_analysis_pending,
+    coalesce(trim(rss_feed), '') = '' AS needs_crawl FROM sources""")
+def source_migration(s: SparkSession, sf: str) -> DataFrame:
+    return flow.migrate_sources(T(s, sf, "sources")).select("name", "parser_config_name", "llm_analysis_pending", flow.needs_crawl(F.col("rss_feed")).alias("needs_crawl"))
+
+
+@query("SELECT name, array_to_string(list_prepend(base_url, list_filter(list_transform(coalesce(sections, []), lambda x: x.url), lambda u: u <> base_url)), ' ') AS entries FROM sources")
+def source_entry_urls(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "sources").select("name", F.array_join(flow.entry_urls(F.col("base_url"), F.col("sections")), " ").alias("entries"))
+
+
+@query("SELECT name, coalesce(len(list_filter(map_keys(extraction_selectors), lambda k: k LIKE '%\\_selector' ESCAPE '\\')) > 0 AND NOT list_contains(map_keys(extraction_selectors), '_is_json_css_schema'), false) AS old_form FROM sources")
+def source_selector_form(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "sources").select("name", flow.old_selectors(F.col("extraction_selectors")).alias("old_form"))
+
+
+# -- log, limits, change -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, least(1.0::DOUBLE * pow(2.0::DOUBLE, least(count(*) FILTER (WHERE event_type = 'error'), 60)), 300.0::DOUBLE) AS delay FROM events GROUP BY user_id")
+def rate_limit_backoff(s: SparkSession, sf: str) -> DataFrame:
+    e = T(s, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"))
+    return e.withColumn("delay", flow.backoff(F.lit(1.0), F.col("errors")))
+
+
+@query(f"SELECT page_id, coalesce(TRY_CAST(metadata['status'] AS INT) IN (429, 503), false) OR coalesce(regexp_matches(lower(html), '{flow.BLOCK_WORDS}'), false) AS limited FROM fetch_results")
+def pages_rate_limited(s: SparkSession, sf: str) -> DataFrame:
+    status = F.expr("try_cast(metadata['status'] as int)")
+    return T(s, sf, "fetch_results").select("page_id", flow.rate_limited(status, F.col("html")).alias("limited"))
+
+
+@query("SELECT page_id FROM fetch_results WHERE coalesce(lower(trim(string_split(metadata['content_type'], ';')[1])) IN ('text/html', 'text/plain', 'application/xhtml+xml'), false)")
+def pages_of_text_type(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "fetch_results").filter(flow.is_page_type(F.col("metadata")["content_type"])).select("page_id")
+
+
+@query("SELECT event_id, upper(event_type) AS type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def event_log_last(s: SparkSession, sf: str) -> DataFrame:
+    return flow.last_n(T(s, sf, "events"), [F.col("ts"), F.col("event_id")], 100).select("event_id", F.upper("event_type").alias("type"))
+
+
+@query("SELECT upper(event_type) AS type, count(*) AS n FROM events GROUP BY 1")
+def event_type_counts(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "events").groupBy(F.upper("event_type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, CASE WHEN row_number() OVER w > 1 THEN i IS DISTINCT FROM lag(i) OVER w END AS changed FROM (SELECT page_id, url, fetched_at, md5(html) AS i FROM fetch_results)
+    WINDOW w AS (PARTITION BY url ORDER BY fetched_at, page_id)""")
+def site_change(s: SparkSession, sf: str) -> DataFrame:
+    p = T(s, sf, "fetch_results").select("page_id", "url", "fetched_at", F.md5("html").alias("i"))
+    return flow.changes_over_time(p, "url", ["fetched_at", "page_id"], F.col("i")).select("page_id", "changed")
+
+
+@query("SELECT (SELECT count(*) FROM feed_items) AS queued, (SELECT count(DISTINCT source_name) FROM feed_items) AS sources, (SELECT count(*) FROM fetch_results WHERE html IS NOT NULL) AS fetched")
+def run_summary(s: SparkSession, sf: str) -> DataFrame:
+    q = T(s, sf, "feed_items").agg(F.count(F.lit(1)).alias("queued"), F.countDistinct("source_name").alias("sources"))
+    f = T(s, sf, "fetch_results").agg(F.count("html").alias("fetched"))
+    return q.withColumn("k", F.lit(1)).join(f.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+@query("SELECT item_no, CASE WHEN length(title) <= 40 THEN title ELSE left(title, 20) || '...' || right(title, 20) END AS snippet FROM feed_items")
+def log_snippets(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "feed_items").select("item_no", tx.snippet(F.col("title"), 40).alias("snippet"))
+
+
+@query("SELECT event_id, 'ERROR' AS type, 'events' AS component, 'urn:' || user_id AS url FROM events WHERE event_type = 'error'")
+def failure_records(s: SparkSession, sf: str) -> DataFrame:
+    e = T(s, sf, "events").filter("event_type = 'error'").select("event_id", flow.failure(F.lit("events"), F.lit("failed"), F.concat(F.lit("urn:"), F.col("user_id").cast("string")), F.create_map(F.lit("props"), F.col("props"))).alias("f"))
+    return e.select("event_id", F.col("f.type").alias("type"), F.col("f.details")["component"].alias("component"), F.col("f.details")["url"].alias("url"))
+
+
+# -- registry and policy -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY last_checked DESC NULLS LAST) AS r FROM domain_registry WHERE domain IS NOT NULL)
+    SELECT domain, max(last_checked) AS last_checked FROM d GROUP BY domain""")
+def registry_last_wins(s: SparkSession, sf: str) -> DataFrame:
+    r = T(s, sf, "domain_registry").select("domain", "last_checked", "permission")
+    return flow.last_wins(r, "domain", "last_checked").select("domain", "last_checked")
+
+
+_POLICY = """(VALUES ('a.example', 'User-agent: *
+Disallow: /x', NULL, NULL, NULL), ('b.example', 'Disallow: /', NULL, '<a href="/terms">', 'Creative Commons'), ('c.example', NULL, NULL, '<a href="/tos">', 'no scraping'),
+    ('d.example', '', NULL, 'our api', NULL), ('e.example', NULL, '<loc>https://e.example/f</loc>', 'home', 'fine')) AS t(domain, robots, sitemap, home, tos)"""
+
+
+@query(f"""SELECT domain, CASE WHEN s = 'yellow' AND coalesce(regexp_matches(home, '(?i)api'), false) THEN 'green' ELSE s END AS permission FROM (SELECT domain, home,
+    CASE WHEN regexp_matches(tos, '(?i)creative\\s+commons') THEN 'green' WHEN regexp_matches(tos, '(?i)scrap|no scraping') THEN 'red' WHEN regexp_matches(robots, '(?i)disallow:\\s*/') THEN 'red' ELSE 'yellow' END AS s FROM {_POLICY})""")
+def policy_class(s: SparkSession, sf: str) -> DataFrame:
+    return pl.scan_policies(s.sql(f"SELECT *, CAST(NULL AS STRING) AS prior FROM {_POLICY}")).select("domain", "permission")
+
+
+_ROBOTS = """(VALUES ('example.com', 'User-agent: TestBot
+Crawl-delay: 5
+Disallow: /private
+Allow: /
+
+User-agent: *
+Crawl-delay: 1
+Disallow: /tmp
+Sitemap: http://example.com/sitemap.xml
+sitemap: http://example.com/news.xml')) AS r(authority, body)"""
+_TRY = """(VALUES (1, 'http://example.com/private/a'), (2, 'http://example.com/tmp/a'), (3, 'http://example.com/x'), (4, 'http://other.com/private')) AS u(n, url)"""
+
+
+@query("SELECT * FROM (VALUES (1, 'http://example.com/private/a', false), (2, 'http://example.com/tmp/a', true), (3, 'http://example.com/x', true), (4, 'http://other.com/private', true)) AS t(n, url, allowed)")
+def robots_allow(s: SparkSession, sf: str) -> DataFrame:
+    return rb.allowed(s.sql(f"SELECT * FROM {_TRY}"), rb.rules(s.sql(f"SELECT * FROM {_ROBOTS}")), "TestBot")
+
+
+@query("SELECT 'example.com' AS authority, 5.0::DOUBLE AS own, 1.0::DOUBLE AS other")
+def robots_delay(s: SparkSession, sf: str) -> DataFrame:
+    r = s.sql(f"SELECT * FROM {_ROBOTS}")
+    own, other = rb.crawl_delays(r, "TestBot").withColumnRenamed("delay", "own"), rb.crawl_delays(r, "none").withColumnRenamed("delay", "other")
+    return own.join(other, "authority")
+
+
+@query("SELECT unnest(['http://example.com/sitemap.xml', 'http://example.com/news.xml']) AS sitemap")
+def robots_sitemaps(s: SparkSession, sf: str) -> DataFrame:
+    return s.sql(f"SELECT * FROM {_ROBOTS}").select(F.explode(rb.sitemap_lines(F.col("body"))).alias("sitemap"))
+
+
+@query("SELECT name, nullif(regexp_extract(base_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') AS authority, 1.0::DOUBLE AS delay FROM sources")
+def prime_domains(s: SparkSession, sf: str) -> DataFrame:
+    return pl.prime_domains(T(s, sf, "sources"), rb.crawl_delays(s.sql(f"SELECT * FROM {_ROBOTS}")))
+
+
+# -- feeds and sitemaps --------------------------------------------------------------------------------------------------------
+
+_RSS = """(VALUES ('http://example.com/rss', '<rss version="2.0"><channel><item><title>One</title><link>http://example.com/1</link><guid>item1</guid><pubDate>Mon, 01 Jan 2024 12:00:00 GMT</pubDate></item>
+<item><title>Two</title><link>http://example.com/2</link><guid>item2</guid><pubDate>Tue, 02 Jan 2024 13:00:00 +0000</pubDate></item><item><title>None</title></item></channel></rss>')) AS f(feed_url, xml)"""
+_MAPS = """(VALUES ('http://example.com/sitemap.xml', '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>http://example.com/sitemap1.xml</loc></sitemap><sitemap><loc>http://example.com/sitemap.xml</loc></sitemap></sitemapindex>'),
+    ('http://example.com/sitemap1.xml', '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>http://example.com/page1</loc><lastmod>2024-01-01T12:00:00Z</lastmod></url><url><loc> </loc></url></urlset>')) AS m(sitemap_url, xml)"""
+
+
+@query("SELECT * FROM (VALUES ('item1', 'http://example.com/1', 'One', 1704110400000000::BIGINT), ('item2', 'http://example.com/2', 'Two', 1704200400000000::BIGINT)) AS t(id, link, title, published_utc)")
+def rss_items(s: SparkSession, sf: str) -> DataFrame:
+    return rd.feed_items(s.sql(f"SELECT * FROM {_RSS}")).select("id", "link", "title", "published_utc")
+
+
+@query("SELECT 'http://example.com/sitemap.xml' AS root, 'http://example.com/page1' AS loc, '2024-01-01T12:00:00Z' AS lastmod")
+def sitemap_urls(s: SparkSession, sf: str) -> DataFrame:
+    m = s.sql(f"SELECT * FROM {_MAPS}")
+    return rd.sitemap_closure(m.filter("sitemap_url like '%sitemap.xml'").select("sitemap_url"), m)
+
+
+# -- Markdown --------------------------------------------------------------------------------------------------------------------
+
+_DOCS = r"d AS (SELECT section_id AS doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM md_sections WHERE text IS NOT NULL), a AS (SELECT doc_id, string_split(t, chr(10)) AS x FROM d), b AS (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS ls FROM a)"
+_HEADS = rf"{_DOCS}, l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM b), h AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(length(regexp_extract(line, '{tx.HEADING}', 1)) AS INT) AS level, nullif(regexp_extract(line, '{tx.HEADING}', 2), '') AS section_number, trim(regexp_extract(line, '{tx.HEADING}', 3)) AS heading_text FROM l WHERE regexp_matches(line, '{tx.HEADING}'))"
+
+
+def _md(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "md_sections").select(F.col("section_id").alias("doc_id"), "text", "file_path")
+
+
+@query(f"WITH {_HEADS} SELECT doc_id, line_no, level, section_number, heading_text FROM h")
+def md_headings(s: SparkSession, sf: str) -> DataFrame:
+    return md.headings(_md(s, sf))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, array_to_string(list_filter(list_transform(ls, lambda x: regexp_extract(x, '{tx.NUMBERED}', 1)), lambda x: x <> ''), '|') AS found FROM b")
+def md_numbered_headings(s: SparkSession, sf: str) -> DataFrame:
+    return _md(s, sf).filter("text is not null").select("doc_id", F.array_join(md.numbered_headings(F.col("text")), "|").alias("found"))
+
+
+@query(f"WITH {_HEADS}, c AS (SELECT doc_id, line_no AS start_line FROM h WHERE level = 2 UNION SELECT doc_id, 0 FROM b) SELECT * FROM (SELECT c.doc_id, start_line, CAST(coalesce(lead(start_line) OVER (PARTITION BY c.doc_id ORDER BY start_line), len(ls)) AS INT) AS end_line FROM c JOIN b ON b.doc_id = c.doc_id) WHERE end_line > start_line")
+def md_section_bounds(s: SparkSession, sf: str) -> DataFrame:
+    return md.sections(_md(s, sf))
+
+
+_SECT = f"{_HEADS}, c AS (SELECT doc_id, line_no AS start_line FROM h WHERE level = 2 UNION SELECT doc_id, 0 FROM b), e AS (SELECT c.doc_id, start_line, CAST(coalesce(lead(start_line) OVER (PARTITION BY c.doc_id ORDER BY start_line), len(ls)) AS INT) AS end_line, ls FROM c JOIN b ON b.doc_id = c.doc_id), w AS (SELECT doc_id, start_line, end_line, array_to_string(ls[start_line + 1:end_line], chr(10)) AS text FROM e WHERE end_line > start_line)"
+
+
+@query(f"WITH {_SECT} SELECT doc_id, start_line, md5(text) AS text_md5 FROM w")
+def md_section_texts(s: SparkSession, sf: str) -> DataFrame:
+    return md.section_texts(_md(s, sf)).select("doc_id", "start_line", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {_SECT} SELECT w.doc_id, w.start_line, coalesce(string_agg(h.heading_text, '|' ORDER BY h.line_no), '') AS hierarchy FROM w LEFT JOIN h ON h.doc_id = w.doc_id AND h.line_no <= w.start_line GROUP BY w.doc_id, w.start_line")
+def md_hierarchy(s: SparkSession, sf: str) -> DataFrame:
+    d = _md(s, sf)
+    return md.hierarchy(md.sections(d), md.headings(d)).select("doc_id", "start_line", F.array_join("section_hierarchy", "|").alias("hierarchy"))
+
+
+@query(f"WITH {_HEADS} SELECT doc_id, CASE WHEN count(*) FILTER (WHERE level = 2) >= 3 THEN 2 WHEN count(*) FILTER (WHERE level = 3) >= 3 THEN 3 END AS level FROM h GROUP BY doc_id")
+def md_split_level(s: SparkSession, sf: str) -> DataFrame:
+    return md.split_level(md.headings(_md(s, sf)), deepest=3)
+
+
+@query(f"WITH {_HEADS}, f AS (SELECT s.section_id, min(h.line_no) AS l FROM md_sections s JOIN h ON h.doc_id = s.section_id AND h.heading_text = s.own_heading GROUP BY s.section_id) SELECT s.section_id AS doc_id, coalesce(h.section_number, '1') AS section_number FROM md_sections s LEFT JOIN f ON f.section_id = s.section_id LEFT JOIN h ON h.doc_id = s.section_id AND h.line_no = f.l WHERE NOT regexp_matches(coalesce(s.own_heading, ''), '(^|\\.)[0-9]+(\\.|$)')")
+def md_section_numbers(s: SparkSession, sf: str) -> DataFrame:
+    d = T(s, sf, "md_sections").select(F.col("section_id").alias("doc_id"), "own_heading", F.lit(2147483647).alias("start_line"), "text")
+    out = md.section_numbers(d.select("doc_id", "own_heading", "start_line"), md.headings(d))
+    return out.filter(~F.coalesce("own_heading", F.lit("")).rlike(r"(^|\.)[0-9]+(\.|$)")).select("doc_id", "section_number")
+
+
+@query(r"SELECT section_id, trim(regexp_replace(lower(own_heading), '[^a-z0-9]+', '_', 'g'), '_') AS slug, 'memory_' || topic || '_sec1_L' || start_line AS id FROM md_sections")
+def chunk_ids(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "md_sections").select("section_id", tx.slugify(F.col("own_heading")).alias("slug"), tx.chunk_id(F.col("topic"), F.lit("1"), F.col("start_line")).alias("id"))
+
+
+_STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in [*tx.DOMAIN_STOP, *tx.STOP_WORDS])
+
+
+@query(rf"SELECT section_id, array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(text, '`([^`]+)`', 1), list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)*$'))), lambda w: length(w) > 2 AND w NOT IN ({_STOPPED}))))[1:7], '|') AS keywords FROM md_sections WHERE text IS NOT NULL")
+def md_keywords(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "md_sections").filter("text is not null").select("section_id", F.array_join(tx.keywords(F.col("text")), "|").alias("keywords"))
+
+
+@query(r"SELECT section_id, coalesce(nullif(regexp_extract(text, '(?m)^\*[ \t]*Description:[ \t]*(.+)$', 1), ''), nullif(regexp_extract(text, '(?m)^\*\*[ \t]*[0-9.]+[ \t]*Purpose:[ \t]*(.+)$', 1), ''), '') AS description FROM md_sections WHERE text IS NOT NULL")
+def md_description(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "md_sections").filter("text is not null").select("section_id", tx.description(F.col("text")).alias("description"))
+
+
+@query(rf"WITH {_DOCS} SELECT b.doc_id, CAST(len(ls) AS INT) AS lines, CAST(len(regexp_extract_all(s.text, '{tx.TOKEN}')) AS INT) AS tokens FROM b JOIN md_sections s ON s.section_id = b.doc_id")
+def md_counts(s: SparkSession, sf: str) -> DataFrame:
+    return _md(s, sf).filter("text is not null").select("doc_id", tx.line_count(F.col("text")).alias("lines"), tx.token_count(F.col("text")).alias("tokens"))
+
+
+@query(rf"WITH {_DOCS}, n AS (SELECT doc_id, list_filter(ls, lambda x: trim(x) <> '') AS f FROM b) SELECT doc_id, CASE WHEN len(f) = 0 THEN true ELSE len(f) = 1 AND regexp_matches(f[1], '^\s*#+\s+') END AS header_only FROM n")
+def md_header_only(s: SparkSession, sf: str) -> DataFrame:
+    return _md(s, sf).filter("text is not null").select("doc_id", tx.is_header_only(F.col("text")).alias("header_only"))
+
+
+@query("SELECT section_id, array_to_string(string_split(regexp_replace(string_split(file_path, '/')[-1], '.{3}$', ''), '_')[2:-2], '_') AS topic FROM md_sections WHERE file_path IS NOT NULL")
+def md_file_topic(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "md_sections").filter("file_path is not null").select("section_id", tx.topic_from_filename(F.col("file_path")).alias("topic"))
+
+
+@query("SELECT section_id, len(regexp_extract_all(text, '(?s)```.*?```'))::INT AS fences, true AS restored FROM md_sections WHERE text IS NOT NULL")
+def md_fences(s: SparkSession, sf: str) -> DataFrame:
+    f = T(s, sf, "md_sections").filter("text is not null").select("section_id", "text", tx.fences_out(F.col("text")).alias("f"))
+    return f.select("section_id", F.size("f.code").alias("fences"), (tx.fences_in(F.col("f.text"), F.col("f.code")) == F.col("text")).alias("restored"))
+
+
+@query()
+def md_chunks(s: SparkSession, sf: str) -> DataFrame:
+    return md.chunk_documents(_md(s, sf), 300)
+
+
+@query()
+def md_chunk_records(s: SparkSession, sf: str) -> DataFrame:
+    return pl.chunk_records(_md(s, sf), 300)
+
+
+@query()
+def md_merged_sections(s: SparkSession, sf: str) -> DataFrame:
+    return md.merge_similar(md.section_texts(_md(s, sf)), "doc_id", "start_line", "text")
+
+
+_TERMS = r"""WITH p AS (SELECT section_id, coalesce(text, '') AS a, coalesce(own_heading, '') AS b FROM md_sections), k AS (SELECT section_id, regexp_extract_all(lower(a), '[\p{L}\p{N}_]{2,}') AS ta, regexp_extract_all(lower(b), '[\p{L}\p{N}_]{2,}') AS tb FROM p),
+    x AS (SELECT section_id, w, count(*) AS n FROM (SELECT section_id, unnest(ta) AS w FROM k) GROUP BY 1, 2), y AS (SELECT section_id, w, count(*) AS n FROM (SELECT section_id, unnest(tb) AS w FROM k) GROUP BY 1, 2),
+    z AS (SELECT coalesce(x.section_id, y.section_id) AS section_id, coalesce(x.n, 0)::DOUBLE AS n, coalesce(y.n, 0)::DOUBLE AS m, CASE WHEN x.n IS NOT NULL AND y.n IS NOT NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + ln(1.5::DOUBLE) END AS idf FROM x FULL JOIN y ON x.section_id = y.section_id AND x.w = y.w),
+    g AS (SELECT section_id, sum(n * m) AS dot, sqrt(sum(pow(n * idf, 2))) AS na, sqrt(sum(pow(m * idf, 2))) AS nb FROM z GROUP BY section_id)
+    SELECT p.section_id, CASE WHEN g.section_id IS NULL THEN 1.0::DOUBLE WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE ELSE round(dot / (na * nb), 9) END AS similarity FROM p LEFT JOIN g ON g.section_id = p.section_id"""
+
+
+@query(_TERMS)
+def tfidf_pairs(s: SparkSession, sf: str) -> DataFrame:
+    return md.pair_cosine(T(s, sf, "md_sections"), ["section_id"], "text", "own_heading")
+
+
+@query(rf"""WITH RECURSIVE f AS (SELECT file_path, topic || '_L' || lpad(CAST(section_id AS VARCHAR), 9, '0') || '.md' AS name, topic AS prefix, len(regexp_extract_all(coalesce(text, ''), '{tx.TOKEN}')) AS n FROM md_sections WHERE file_path IS NOT NULL AND topic IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY name) AS k FROM f),
+    r AS (SELECT file_path, name, prefix, k, n AS s, 0 AS bin FROM o WHERE k = 1 UNION ALL SELECT o.file_path, o.name, o.prefix, o.k, CASE WHEN o.prefix = r.prefix AND r.s + o.n <= 1200 THEN r.s + o.n ELSE o.n END, CASE WHEN o.prefix = r.prefix AND r.s + o.n <= 1200 THEN r.bin ELSE r.bin + 1 END FROM r JOIN o ON o.file_path = r.file_path AND o.k = r.k + 1)
+    SELECT file_path, name, bin FROM r""")
+def pack_greedy(s: SparkSession, sf: str) -> DataFrame:
+    f = T(s, sf, "md_sections").filter("file_path is not null and topic is not null")
+    f = f.select("file_path", F.concat("topic", F.lit("_L"), F.lpad(F.col("section_id").cast("string"), 9, "0"), F.lit(".md")).alias("name"), tx.token_count(F.coalesce("text", F.lit(""))).alias("n"))
+    return md.pack(f.withColumn("prefix", tx.section_prefix(F.col("name"))), "file_path", "name", "prefix", "n")
+
+
+@query(r"SELECT section_id, regexp_matches(t, p) AS has_head, CASE WHEN regexp_matches(t, p) THEN regexp_extract(t, p, 2) ELSE t END = text_after AS same FROM (SELECT section_id, '---' || chr(10) || 'id: ' || section_id || chr(10) || '---' || chr(10) || 'body ' || section_id AS t, 'body ' || section_id AS text_after, '(?s)^---[ \t]*\n(.*?)(?:^|\n)---[ \t]*(?:\n(.*))?$' AS p FROM md_sections)")
+def front_matter(s: SparkSession, sf: str) -> DataFrame:
+    n = F.col("section_id").cast("string")
+    d = T(s, sf, "md_sections").select("section_id", F.concat(F.lit("---\nid: "), n, F.lit("\n---\nbody "), n).alias("t"), F.concat(F.lit("body "), n).alias("want")).withColumn("f", rd.front_matter(F.col("t")))
+    return d.select("section_id", F.col("f.head").isNotNull().alias("has_head"), (F.col("f.body") == F.col("want")).alias("same"))
+
+
+# -- extraction ------------------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM fetch_results WHERE html IS NOT NULL".replace('\\"', '"'))
+def page_titles(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "fetch_results").filter("html is not null").select("page_id", extract.page_title(F.col("html")).alias("title"))
+
+
+@query(r"""WITH c AS (SELECT page_id, flatten(list_transform(regexp_extract_all(html, '(?i)<div\b[^>]*\bclass\s*=\s*["'']?([^"''>]+)', 1), lambda v: regexp_split_to_array(trim(v), '\s+'))) AS cs FROM fetch_results WHERE html IS NOT NULL),
+    u AS (SELECT page_id, unnest(cs) AS css_class, unnest(range(len(cs))) AS pos FROM c), g AS (SELECT page_id, css_class, count(*) AS n, min(pos) AS f FROM u WHERE css_class <> '' GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT page_id, css_class, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, f) AS r FROM g) WHERE r = 1""")
+def recurrent_class(s: SparkSession, sf: str) -> DataFrame:
+    return extract.recurrent_class(T(s, sf, "fetch_results"))
+
+
+def _with_selectors(s: SparkSession, sf: str) -> DataFrame:
+    one = T(s, sf, "sources").groupBy(F.col("name").alias("source_name")).agg(F.first("extraction_selectors", ignorenulls=True).alias("selectors"))
+    return T(s, sf, "fetch_results").join(F.broadcast(one), "source_name", "left")
+
+
+@query()
+def article_cascade(s: SparkSession, sf: str) -> DataFrame:
+    return extract.cascade(_with_selectors(s, sf), "selectors").select("page_id", "article.*")
+
+
+@query()
+def selector_articles(s: SparkSession, sf: str) -> DataFrame:
+    return _with_selectors(s, sf).select("page_id", extract.by_selectors(F.col("html"), F.col("selectors")).alias("a")).select("page_id", "a.*").filter("method is not null")
+
+
+@query("SELECT item_no, array_to_string(list_filter(list_transform(string_split(title, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS authors FROM feed_items WHERE title IS NOT NULL AND title NOT LIKE '[%' AND title NOT LIKE '{%'")
+def author_names(s: SparkSession, sf: str) -> DataFrame:
+    f = T(s, sf, "feed_items").filter("title is not null and title not like '[%' and title not like '{%'")
+    return f.select("item_no", F.array_join(extract.authors(F.col("title")), "|").alias("authors"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?is)<link\\b[^>]*application/rss\\+xml[^>]*>'))::INT AS feeds FROM fetch_results WHERE html IS NOT NULL")
+def page_feed_links(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "fetch_results").filter("html is not null").select("page_id", F.size(extract.feed_links(F.col("html"))).alias("feeds"))
+
+
+@query()
+def queue_articles(s: SparkSession, sf: str) -> DataFrame:
+    pages = T(s, sf, "fetch_results")
+    items = flow.first_wins(_queue(s, sf).unionByName(pages.select(F.lit(None).cast("string").alias("id"), F.col("url").alias("link"), F.lit(None).cast("string").alias("title"), "source_name", F.col("page_id").alias("arrival"), F.lit(3).alias("producer"))), flow.seen_key(F.col("link"), F.col("id")), ["producer", "arrival"])
+    return pl.process_queue(items, T(s, sf, "sources"), pages).select("link", "source_name", "title", "extraction_method")
