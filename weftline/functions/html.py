@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\s*/?[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|\s+|/(?!>)|[\"'])*)(/?)>", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")
@@ -36,20 +37,20 @@ class Node:
     def style(self) -> str:
         """The presentation of the element: its tag with what names its kind (numbers in names don't)."""
         a = self.attrs
-        if not a:
-            return self.tag
-        name = a.get("class") or ""
-        name = ".".join(sorted(name.split()))
-        if a.get("id"):
-            name += "#" + a["id"]
-        for k in ("role", "itemprop"):
-            if a.get(k):
-                name += f"[{k}={a[k]}]"
-        return self.tag + (("." if name and name[0] not in "#[" else "") + re.sub(r"\d+", "0", name) if name else "")
+        return style_of(self.tag, a.get("class"), a.get("id"), a.get("role"), a.get("itemprop")) if a else self.tag
 
 
+@lru_cache(maxsize=100_000)
+def style_of(tag: str, classes: str | None, ident: str | None, role: str | None, prop: str | None) -> str:
+    name = ".".join(sorted(classes.split())) if classes else ""
+    name = ("." if name else "") + name + (f"#{ident}" if ident else "") + (f"[role={role}]" if role else "") + (f"[itemprop={prop}]" if prop else "")
+    return tag + re.sub(r"\d+", "0", name)
+
+
+@lru_cache(maxsize=20_000)
 def _attrs(text: str) -> dict[str, str]:
-    out = {}
+    """Attributes of a tag; the dictionary is shared by equal tags and never changed."""
+    out: dict[str, str] = {}
     for m in _ATTR.finditer(text):
         v = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
         out.setdefault(m[1].lower(), html.unescape(v) if "&" in v else v)
@@ -70,6 +71,9 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[1]:  # end tag
             tag, up = m[1].lower(), node
+            if up.tag == tag and up.parent is not None:
+                node = up.parent
+                continue
             while up is not root and up.tag != tag:
                 if tag in INLINE and up.tag not in INLINE:
                     up = root  # an inline end tag never closes a block
@@ -108,7 +112,7 @@ def parse(page: str) -> Node:
 
 def clean(text: str) -> str:
     """Entities resolved, every run of white space one blank, ends trimmed."""
-    return SPACE.sub(" ", html.unescape(text)).strip()
+    return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
 @dataclass(slots=True)
