@@ -22,7 +22,7 @@ from weftline.llm.boilerplate import PARTS
 #: Buckets of hashed trigrams; a model is one array of this size, whatever the corpus.
 BUCKETS = 1 << 16
 #: Characters of a window, the mean log ratio that marks it, and the share of a sentence that marked windows must cover.
-WINDOW, MARK, COVER = 24, 0.35, 0.7
+WINDOW, MARK, COVER = 24, 0.35, 0.54
 #: Shortest sentence (in letters) that the models judge; shorter ones are judged with the block they stand in.
 LEAST = 10
 
