@@ -24,6 +24,8 @@ _CLOSES = {
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SCOPE = {"li": {"ul", "ol", "menu", "div", "td", "body", "article", "section", "main", "aside"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "p": {"div", "td", "li", "body", "article", "section", "main", "aside", "blockquote", "figure", "table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 SPACE = re.compile(r"\s+")
+#: Elements nested deeper than this stand beside each other, as in browsers; no text is lost.
+DEEPEST = 300
 
 
 @dataclass(slots=True)
@@ -32,6 +34,7 @@ class Node:
     attrs: dict[str, str]
     parent: Node | None
     children: list = field(default_factory=list)  # Node or str
+    level: int = 0
 
     @property
     def style(self) -> str:
@@ -98,14 +101,14 @@ def parse(page: str) -> Node:
                         if tag != "tr":
                             break
                     up = up.parent
-            new = Node(tag, attrs, node)
+            new = Node(tag, attrs, node, level=node.level + 1)
             node.children.append(new)
             if tag in _RAW:
                 end = _RAW[tag].search(page, at)
                 if tag == "title":
                     new.children.append(page[at : end.start() if end else n])
                 at = end.end() if end else n
-            elif tag not in VOID and not m[4]:
+            elif tag not in VOID and not m[4] and new.level < DEEPEST:
                 node = new
     return root
 
@@ -164,10 +167,6 @@ def stretches(root: Node, silent: frozenset[str] = SILENT) -> list[Stretch]:
                 walk(c, c, linked, marked)
                 flush(c)
 
-    import sys
-
-    if sys.getrecursionlimit() < 20000:
-        sys.setrecursionlimit(20000)
     walk(root, root, False, False)
     flush(root)
     return out
