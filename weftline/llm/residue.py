@@ -69,9 +69,26 @@ Página no encontrada. Lo sentimos, la página que busca ya no existe. Acceso de
 Active JavaScript para ver el contenido. Habilite JavaScript. Servicio no disponible temporalmente.
 Страница не найдена. Запрошенная страница не существует. Доступ запрещён. Произошла ошибка. Попробуйте позже. Включите JavaScript, чтобы читать страницу. Сервис временно недоступен.
 """
+#: Natural prose that is added to what is counted in the table, so that small tables are judged soundly as well.
+PROSE = """
+The council of the town voted on Monday to repair the bridge before the winter, and the clerk wrote down every name. She typed the letter twice.
+A visitor from the valley said that the market was larger than the one he had seen in spring. The ferry was painted white and so was the station.
+Three of the farmers had asked for more time, but the board wanted an answer by the end of the week. Nobody on the ballot was known to the voters.
+In the evening the library stays open for students who work during the day. It was built by a family of printers who came from the coast.
+Prices for bread and milk rose again last month, while wages in the harbour stayed where they were. The report of the office was read aloud.
+Officials were switched to another department after a test had shown that the old rules no longer work. He answered for hours and then went home.
+Der Rat der Stadt hat am Montag beschlossen, die alte Brücke noch vor dem Winter zu reparieren. Viele Gäste kamen am Abend in das neue Stadtbad.
+Die Bauern wollten mehr Zeit, aber der Vorstand verlangte eine Antwort bis zum Ende der Woche. Niemand wusste genau, warum der Zug nicht hielt.
+Le conseil de la ville a voté lundi pour réparer le vieux pont avant l'hiver, et le maire a remercié tous les habitants du quartier.
+Les élèves de l'école voisine ont visité le musée pendant deux heures. Personne ne savait pourquoi le marché avait fermé si tôt.
+El consejo de la ciudad votó el lunes para reparar el puente viejo antes del invierno, y la alcaldesa dio las gracias a los vecinos.
+Los alumnos de la escuela visitaron el museo durante dos horas. Nadie sabía por qué el mercado había cerrado tan temprano aquel sábado.
+Совет города решил в понедельник отремонтировать старый мост до начала зимы, и мэр поблагодарил всех жителей района за терпение.
+Ученики соседней школы провели в музее два часа. Никто не знал, почему рынок закрылся так рано в тот осенний день.
+"""
 _NAMES = "title headline body content lead summary author author_name article.body story.text post_content name date url text teaser item.title user.name page_title first_name"
-_FORMS = "{{%s}}|{{ %s }}|${%s}|#{%s}|$%s$|%%%%%s%%%%|@@%s@@|[[%s]]|<%%= %s %%>|{%%%% block %s %%%%}{%%%% endblock %%%%}|{%s}|[insert %s here]|<<%s>>|__%s__|TODO: %s"
-FIELDS = " \n".join((f.replace("%%%%", "\0").replace("%%", "\0").replace("%s", n).replace("\0", "%")) for f in _FORMS.split("|") for w in _NAMES.split() for n in (w, w.upper()))
+_FORMS = "{{NAME}}|{{ NAME }}|${NAME}|#{NAME}|$NAME$|%%NAME%%|@@NAME@@|[[NAME]]|<%= NAME %>|{% block NAME %}{% endblock %}|{NAME}|[insert NAME here]|<<NAME>>|__NAME__|TODO: NAME"
+FIELDS = " \n".join(f.replace("NAME", n) for f in _FORMS.split("|") for w in _NAMES.split() for n in (w, w.upper()))
 
 #: Fields that templates leave behind, by form.
 FIELD = re.compile(
@@ -115,9 +132,14 @@ class Models:
     """Log-likelihood ratio per trigram of the likeliest kind of residue to natural prose."""
 
     def __init__(self, natural: np.ndarray, smooth: float = 0.2):
-        # natural: counts by bucket
+        natural = natural + np.bincount(trigrams(PROSE), minlength=BUCKETS)
         prose = self._model(natural.astype(float), smooth * max(1.0, natural.sum() / 50_000))
-        self.ratio = [np.clip(self._model(np.bincount(trigrams(t), minlength=BUCKETS).astype(float), smooth) - prose, -4, 4) for t in (FILLER, ERRORS, FIELDS)]
+        self.ratio = []
+        for t in (FILLER, ERRORS, FIELDS):
+            own = np.bincount(trigrams(t), minlength=BUCKETS).astype(float)
+            ratio = np.clip(self._model(own, smooth) - prose, -4, 4)
+            # What neither side has seen speaks against residue, however small the table whose prose was counted.
+            self.ratio.append(np.where(own == 0, np.minimum(ratio, -1.0), ratio))
 
     @staticmethod
     def _model(counts: np.ndarray, smooth: float) -> np.ndarray:
