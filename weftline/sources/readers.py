@@ -14,7 +14,7 @@ DOMAIN = "domain string, permission string, feed_urls array<string>, api_endpoin
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """file_path, text of every .md file below path, whole."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").text(path)
+    d = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[mM][dD]")
     return d.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
 
