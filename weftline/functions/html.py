@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\s*/?[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|\s+|/(?!>)|[\"'])*)(/?)>", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")}
 # Element kinds of HTML.
@@ -28,6 +28,9 @@ SPACE = re.compile(r"\s+")
 DEEPEST = 300
 
 
+_NONE: dict[str, str] = {}
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -84,9 +87,9 @@ def parse(page: str) -> Node:
                     up = up.parent
             if up is not root:
                 node = up.parent
-        elif m[2]:
-            tag = m[2].lower()
-            attrs = _attrs(m[3]) if m[3] else {}
+        elif m[2] or m[4]:
+            tag, given = (m[2] or m[4]).lower(), m[3] or m[5]
+            attrs = _attrs(given) if given else _NONE
             if tag in _BLOCKS and node.tag == "p" or tag in _BLOCKS and node.tag in INLINE:
                 up = node
                 while up.tag in INLINE:
@@ -108,7 +111,7 @@ def parse(page: str) -> Node:
                 if tag == "title":
                     new.children.append(page[at : end.start() if end else n])
                 at = end.end() if end else n
-            elif tag not in VOID and not m[4] and new.level < DEEPEST:
+            elif tag not in VOID and new.level < DEEPEST:
                 node = new
     return root
 
