@@ -161,11 +161,15 @@ class Models:
             best = max(best, float((np.cumsum(edge[:-1]) > 0).mean()))
         return best
 
-    def suspects(self, texts: list[str]) -> np.ndarray:
-        """Which texts hold a marked window or a sign of a field at all; all windows of the batch are worked out at once."""
-        out = np.array([len(t) < 2 * WINDOW or _HINT.search(t) is not None for t in texts], dtype=bool)
+    def suspects(self, texts: list[str], parts: list[str]) -> np.ndarray:
+        """Which texts hold a marked window or a sign of a field at all; all windows of the batch are worked out at once.
+
+        Texts of less than two windows are suspects, but for bylines, which are judged by form alone.
+        """
+        hint = _HINT.search
+        out = np.array([len(t) < 2 * WINDOW and p != "byline" or hint(t) is not None for t, p in zip(texts, parts, strict=True)], dtype=bool)
         sizes = np.array([len(t) + 1 for t in texts])
-        t = trigrams("\n".join(re.sub(r"\d", "0", x) for x in texts), squeeze=False)
+        t = trigrams(re.sub(r"\d", "0", "\n".join(texts)), squeeze=False)
         if len(t) <= WINDOW:
             return np.ones(len(texts), dtype=bool)
         ends = np.cumsum(sizes)
@@ -214,7 +218,7 @@ def residue_parts(parts: DataFrame, models: Models | None = None) -> DataFrame:
         m.ratio = shared.value
         for b in batches:
             texts, kinds = b.column("text").to_pylist(), b.column("part").to_pylist()
-            keep = [bool(s) and m.shows(t, p) for s, t, p in zip(m.suspects(texts), texts, kinds, strict=True)]
+            keep = [bool(s) and m.shows(t, p) for s, t, p in zip(m.suspects(texts, kinds), texts, kinds, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return parts.select("page_id", "no", "part", "tag", "text").mapInArrow(judge, PARTS)
