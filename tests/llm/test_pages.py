@@ -60,3 +60,21 @@ def test_forms_of_fields():
         assert m.shows(line.strip()) or "TODO" in line, line
         assert m.shows(f"The bridge was {line.strip()} painted.") or "TODO" in line, line
         assert not m.shows(f'The sample prints "{line.strip()}" to all.', "byline"), line
+
+
+NONE = "name string, extraction_selectors map<string,string>"
+
+
+def test_repeated_notices_in_place_of_articles(spark):
+    """Error notices repeat from page to page; they are judged all the same, and don't speak against other paragraphs."""
+    notes = ["Sorry, we can't find what you were looking for. It may have moved.", "The upstream server sent an invalid reply.", "You don't have permission to access this resource."]
+    own = [(i, f"https://h{i % 30}.example/{i}", f"<html><body>{NAV}<div class=box><b>Oops</b><h1>Message</h1><div>{notes[i % 3]}</div></div>{FOOT}</body></html>", "s", "", "") for i in range(1000, 1090)]
+    bare = [(i, f"https://h{i % 30}.example/{i}", f"<html><body><h1>Message</h1><p>{notes[i % 3]}</p></body></html>", "s", "", "") for i in range(1100, 1190)]
+    pages = spark.createDataFrame([r for r in rows() if r[0] is not None and r[0] < 60] + own + bare, PAGE)
+    parts = article_parts(pages, spark.createDataFrame([], NONE)).cache()
+    blocks = {r.page_id for r in parts.filter("part = 'block'").collect()}
+    assert set(range(60)) <= blocks
+    rest = {(r.page_id, r.text) for r in parts.filter("part = 'rest'").collect()}
+    assert {(i, notes[i % 3]) for i in (*range(1000, 1090), *range(1100, 1190))} <= rest and (1000, "Oops") in rest
+    assert not any(w in t for _, t in rest for w in ("Home", "©"))
+    assert {r.page_id for r in residue_pages(parts).collect()} == {*range(1000, 1090), *range(1100, 1190)}

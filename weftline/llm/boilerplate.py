@@ -140,6 +140,7 @@ def _host(url: str | None) -> str:
 #: The end of a path from its nearest element with a name or a meaning on, which names a kind of node on any host.
 KIND = r"(?:^|>)((?:(?:[^>]*[.#\[][^>]*|article|main|nav|header|footer|aside|section|td)>)?(?:[a-z]+[1-6]?>)*[^>]+)$"
 _KIND = re.compile(KIND)
+_NAMED = re.compile(r"[.#\[]")
 
 
 @lru_cache(maxsize=200_000)
@@ -148,6 +149,12 @@ def kind(path: str) -> str:
     return m[1] if m else path
 
 
+def kinds_of(path: str) -> set[str]:
+    """The kinds that vote on a node. A last element without a name, as the p of all paragraphs, is no kind of its own."""
+    last = path.rpartition(">")[2]
+    return {kind(path), last} if _NAMED.search(last) else {kind(path)}
+
+
 def style_tree(read: DataFrame) -> DataFrame:
     """host, path, seen, importance of every node of the merged pages; host '*' holds the kinds of nodes over all hosts.
 
@@ -182,7 +189,7 @@ class Tree:
     def importance(self, path: str) -> float:
         """Of a node: the least of what its host and its kinds on all hosts say, each only if it was seen often enough."""
         if (out := self.known.get(path)) is None:
-            votes = [self.nodes.get(path, (1, 1.0)), self.kinds.get(kind(path), (1, 1.0)), self.kinds.get(path.rpartition(">")[2], (1, 1.0))]
+            votes = [self.nodes.get(path, (1, 1.0)), *(self.kinds.get(k, (1, 1.0)) for k in kinds_of(path))]
             out = self.known[path] = min((i for n, i in votes if n >= SEEN), default=1.0)
         return out
 
@@ -190,7 +197,8 @@ class Tree:
 def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
     """(part, tag, text) of headline, byline and article blocks of one page of a host.
 
-    A page with neither headline nor blocks gives all of its text as rest.
+    A page with neither headline nor blocks gives all of its text as rest. A page with a headline whose nearest text was
+    pruned gives that text as rest, as notices in place of an article repeat from page to page as menus do.
     """
     head = next((i for i, r in enumerate(rows) if r[0].rpartition(">")[2].startswith("h1")), None)
     facts = [_facts(r[0]) for r in rows]
@@ -222,6 +230,7 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
     scores: dict[int, float] = {}
     depth: dict[int, int] = {}
     held: dict[int, list[int]] = {}
+    pruned: list[tuple[int, int]] = []
     for i, r in enumerate(rows):
         if i == head or not r[2]:
             continue
@@ -237,6 +246,10 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
             continue
         if r[3] >= LINKED * len(r[2]):
             continue
+        if worth[i] < LEAST_IMPORTANCE or head is not None and i < head:
+            near = _shared(above, nodes)
+            if head is not None and not teaser[i] and (i > head or near >= max(1, len(above) - 1)):
+                pruned.append((near, i))
         if worth[i] < LEAST_IMPORTANCE:
             continue
         # The container: the nearest element that is no paragraph, list or the like.
@@ -251,22 +264,28 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
         held.setdefault(c, []).append(i)
         weight = len(r[2]) * (1.5 if r[6] else 1.0) * (1.0 if _SENTENCE.search(r[2]) else 0.3)
         scores[c] = scores.get(c, 0) + weight
-        shared = 0
-        for a, b in zip(above, nodes[: k + 1], strict=False):
-            if a != b:
-                break
-            shared += 1
-        depth[c] = shared
+        depth[c] = _shared(above, nodes[: k + 1])
+    near = max(depth.values(), default=-1)
     if scores:
-        near = max(depth.values())
         best = max((c for c in scores if depth[c] == near), key=lambda c: (scores[c], -c))
         for i in held[best]:
             out.append(("block", tags[i][-1] if tags[i] else "", rows[i][2]))
     elif head is None:
         out += [("rest", tags[i][-1] if tags[i] else "", r[2]) for i, r in enumerate(rows) if r[2]]
+    out += [("rest", tags[i][-1] if tags[i] else "", rows[i][2]) for shared, i in pruned if shared > near]
     return out
 
 
+def _shared(above: list[int], nodes: list[int]) -> int:
+    """How many outer elements two stretches have in common."""
+    n = 0
+    for a, b in zip(above, nodes, strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
 def article_parts(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """PARTS: headline, byline and article blocks of every page that has any, in order (else all its text as rest).
 
