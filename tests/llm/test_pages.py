@@ -1,3 +1,4 @@
+from weftline.llm import boilerplate
 from weftline.llm.boilerplate import article_parts, articles, block_hashes
 from weftline.llm.residue import FIELDS, Models, natural_counts, residue_pages
 
@@ -78,3 +79,13 @@ def test_repeated_notices_in_place_of_articles(spark):
     assert {(i, notes[i % 3]) for i in (*range(1000, 1090), *range(1100, 1190))} <= rest and (1000, "Oops") in rest
     assert not any(w in t for _, t in rest for w in ("Home", "©"))
     assert {r.page_id for r in residue_pages(parts).collect()} == {*range(1000, 1090), *range(1100, 1190)}
+
+
+def test_kinds_beyond_the_broadcast(spark, monkeypatch):
+    """Nodes that a host shows rarely are judged by their kind also where the kinds are too many to be broadcast."""
+    pages = spark.createDataFrame([(r[0], f"https://h{r[0] % 20}.example/{r[0]}", *r[2:]) for r in rows() if r[0] is not None and r[0] < 60], PAGE)
+    sources = spark.createDataFrame([], NONE)
+    parts = sorted(map(tuple, article_parts(pages, sources).collect()))
+    monkeypatch.setattr(boilerplate, "TREE_ROWS", 3)
+    assert sorted(map(tuple, article_parts(pages, sources).collect())) == parts
+    assert len(parts) > 200 and not any("Sign up" in p[4] for p in parts)

@@ -11,7 +11,7 @@
 
 Counting is partial before it is shuffled, so a host with a third of all pages is no hot spot. The finished tree has one
 row per node that was seen twice; it is broadcast only up to TREE_ROWS rows, beyond that pages meet their host's part of
-the tree in a join.
+the tree, and of the kinds that their host uses, in a join.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -155,6 +155,13 @@ def kinds_of(path: str) -> set[str]:
     return {kind(path), last} if _NAMED.search(last) else {kind(path)}
 
 
+def _kinds() -> Column:
+    """kinds_of the column path."""
+    tail = F.regexp_extract("path", KIND, 1)
+    last = F.element_at(F.split("path", ">"), -1)
+    return F.when(last.rlike(r"[.#\[]") & (tail != last), F.array(tail, last)).otherwise(F.array(tail))
+
+
 def style_tree(read: DataFrame) -> DataFrame:
     """host, path, seen, importance of every node of the merged pages; host '*' holds the kinds of nodes over all hosts.
 
@@ -162,10 +169,7 @@ def style_tree(read: DataFrame) -> DataFrame:
     """
     s = read.select("host", F.inline(F.arrays_zip(F.col("paths").alias("path"), F.col("contents").alias("content")))).toDF("host", "path", "content").filter("path <> ''")
     one = s.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("c"))
-    tail = F.regexp_extract("path", KIND, 1)
-    last = F.element_at(F.split("path", ">"), -1)
-    kinds = F.when(last.rlike(r"[.#\[]") & (tail != last), F.array(tail, last)).otherwise(F.array(tail))
-    every = one.select(F.explode(kinds).alias("path"), "content", "c").groupBy("path", "content").agg(F.sum("c").alias("c")).select(F.lit("*").alias("host"), "path", "content", "c")
+    every = one.select(F.explode(_kinds()).alias("path"), "content", "c").groupBy("path", "content").agg(F.sum("c").alias("c")).select(F.lit("*").alias("host"), "path", "content", "c")
     both = one.unionByName(every)
     tree = both.groupBy("host", "path").agg(F.sum("c").alias("seen"), F.sum(F.col("c") * F.log("c")).alias("repeats"))
     return tree.filter("seen > 1").select("host", "path", "seen", (1 - F.col("repeats") / (F.col("seen") * F.log("seen"))).alias("importance"))
@@ -294,16 +298,20 @@ def article_parts(pages: DataFrame, sources: DataFrame) -> DataFrame:
     read = through_table(read_pages(pages, sources), "stretches")
     tree = through_table(style_tree(read), "style-tree")
     kinds = tree.filter("host = '*'").select("path", "seen", "importance")
-    own = tree.filter("host <> '*'").groupBy("host").agg(F.collect_list(F.struct("path", "seen", "importance")).alias("__tree"))
-    return_kinds = [tuple(r) for r in kinds.collect()] if kinds.count() <= TREE_ROWS else []
-    shared = pages.sparkSession.sparkContext.broadcast({p: (n, i) for p, n, i in return_kinds})
+    nodes = tree.filter("host <> '*'").withColumn("common", F.lit(False))
+    small = kinds.count() <= TREE_ROWS
+    if not small:
+        used = read.select("host", F.explode("paths").alias("path")).filter("path <> ''").distinct().select("host", F.explode(_kinds()).alias("path")).distinct()
+        nodes = nodes.unionByName(used.join(kinds, "path").withColumn("common", F.lit(True)))
+    own = nodes.groupBy("host").agg(F.collect_list(F.struct("common", "path", "seen", "importance")).alias("__tree"))
+    shared = pages.sparkSession.sparkContext.broadcast({p: (n, i) for p, n, i in kinds.collect()} if small else None)
     if tree.count() <= TREE_ROWS:
         own = F.broadcast(own)
 
     schema = to_arrow_schema(_parse_datatype_string(PARTS))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds_of = shared.value
+        everywhere = shared.value
         trees: dict[str, Tree] = {}
         for b in batches:
             for k in range(0, b.num_rows, 200):
@@ -314,7 +322,10 @@ def article_parts(pages: DataFrame, sources: DataFrame) -> DataFrame:
                     if host not in trees:
                         if len(trees) > 2000:
                             trees.clear()
-                        trees[host] = Tree({x["path"]: (x["seen"], x["importance"]) for x in nodes[j].as_py() or ()}, kinds_of)
+                        given: tuple[dict, dict] = {}, {}
+                        for x in nodes[j].as_py() or ():
+                            given[x["common"]][x["path"]] = x["seen"], x["importance"]
+                        trees[host] = Tree(given[False], given[True] if everywhere is None else everywhere)
                     out += [(page, no, *x) for no, x in enumerate(choose(marshal.loads(packed), trees[host]))]
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
