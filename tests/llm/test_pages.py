@@ -1,6 +1,6 @@
 from weftline.llm import boilerplate
 from weftline.llm.boilerplate import article_parts, articles, block_hashes
-from weftline.llm.residue import FIELDS, Models, natural_counts, residue_pages
+from weftline.llm.residue import FIELDS, PROSE, Models, natural_counts, residue_pages
 
 PAGE = "page_id long, url string, html string, source_name string, tag string, text string"
 NAV = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>Sport</a></li></ul></nav><div id=ck><p>We use cookies on this site.</p></div>"
@@ -89,3 +89,27 @@ def test_kinds_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(boilerplate, "TREE_ROWS", 3)
     assert sorted(map(tuple, article_parts(pages, sources).collect())) == parts
     assert len(parts) > 200 and not any("Sign up" in p[4] for p in parts)
+
+
+def test_suspects_miss_nothing_that_shows():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    m = Models(np.zeros(1 << 16))
+    prose = [x.strip() for line in PROSE.splitlines() for x in line.split(". ") if x.strip()]
+    short = ["Text to come.", "Sample text.", "Accès refusé.", "Please try again.", "Lorem ipsum dolor.", "ERROR 404", "Page not found!", "Oops. Gone. Sorry.", "{{ title }}", "İİ Access denied.", "Wait 30\xa0seconds. Slow down.", "Blindtext", '"Lorem ipsum" Your text here.', "a\0b Sample text."]
+    texts, kinds = [], []
+    for i in range(1500):
+        said = rng.choices(prose, k=rng.randint(0, 4)) + rng.choices(short, k=rng.randint(0, 2)) + rng.choices(['"We left',  "İstanbul 1,204 ΣΑΣ", 'home" he said', "A. B.", ""], k=rng.randint(0, 2))
+        rng.shuffle(said)
+        texts.append("".join(x + (rng.choice([". ", ".  ", "… ", "\n", " "])) for x in said).strip())
+        kinds.append(rng.choice(["block", "block", "headline", "rest", "byline"]))
+    shown = np.array([m.shows(t, p) for t, p in zip(texts, kinds, strict=True)])
+    for k in (1, 7, 1500):  # sizes of batches
+        got = np.concatenate([m.suspects(texts[i : i + k], kinds[i : i + k]) for i in range(0, 1500, k)])
+        assert shown.sum() > 300 and not (shown & ~got).any(), [t for t, a, b in zip(texts, shown, got, strict=True) if a and not b][:3]
+    clean = [t for t, p in zip(texts, kinds, strict=True) if "\0" not in t and p == "block"]
+    got = m.suspects(clean, ["block"] * len(clean))
+    assert not (np.array([m.shows(t) for t in clean]) & ~got).any() and not got.all()

@@ -101,12 +101,14 @@ _CODE = re.compile(r"^\W*(?:error\W*)?(?:4\d\d|5\d\d)\W*$", re.I)
 _CODED = re.compile(r"^\W*(?:error\W*)?[45]\d\d\W+(?:[^\W\d]+\W*){1,5}$", re.I)
 _QUOTED = re.compile(r"\"[^\"]{1,300}\"|“[^”]{1,300}”|„[^“”]{1,300}[“”]|«[^»]{1,300}»|‹[^›]{1,300}›|`[^`]{1,300}`|(?<!\w)'[^']{1,300}'(?!\w)|(?<!\w)‘[^’]{1,300}’(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_STOPS = np.array([ord(c) for c in ".!?…"], dtype=np.uint32)
+_MARKS = re.compile("[\"“„«‹`'‘]")
+_ODD = re.compile(r"\s\s|[^\S ]")
 
 
 def trigrams(text: str, squeeze: bool = True) -> np.ndarray:
-    """Bucket of every trigram of the folded text (a number is one sign)."""
-    low = text.lower()
-    text = re.sub(r"\d+", "0", low) if squeeze else low if len(low) == len(text) else text
+    """Bucket of every trigram of the folded text (a number is one sign); without squeeze the text is folded already."""
+    text = re.sub(r"\d+", "0", text.lower()) if squeeze else text
     c = np.frombuffer((" " + text + " ").encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     if len(c) < 3:
         return np.empty(0, dtype=np.int64)
@@ -162,22 +164,37 @@ class Models:
         return best
 
     def suspects(self, texts: list[str], parts: list[str]) -> np.ndarray:
-        """Which texts hold a marked window or a sign of a field at all; all windows of the batch are worked out at once.
+        """Which texts hold what shows() could take for residue; all windows of the batch are worked out at once.
 
-        Texts of less than two windows are suspects, but for bylines, which are judged by form alone.
+        Never less than shows(): whatever it judges is a run of sentences, so it must hold a marked window of WINDOW or be,
+        from a start to an end of sentences, one marked window itself. Bylines are judged by form alone.
         """
-        hint = _HINT.search
-        out = np.array([len(t) < 2 * WINDOW and p != "byline" or hint(t) is not None for t, p in zip(texts, parts, strict=True)], dtype=bool)
-        sizes = np.array([len(t) + 1 for t in texts])
-        t = trigrams(re.sub(r"\d", "0", "\n".join(texts)), squeeze=False)
-        if len(t) <= WINDOW:
-            return np.ones(len(texts), dtype=bool)
-        ends = np.cumsum(sizes)
+        out = np.array([_HINT.search(t) is not None or p in ("headline", "rest") and (_CODE.match(t) or _CODED.match(t)) is not None for t, p in zip(texts, parts, strict=True)], dtype=bool)
+        judged = np.array([p != "byline" for p in parts], dtype=bool)
+        own = [_QUOTED.sub(" ", t).strip() if _MARKS.search(t) else t.strip() for t in texts]
+        own = [" ".join(_SENTENCE.split(t)) if _ODD.search(t) else t for t in own]
+        low = re.sub(r"\d+", "0", "\0".join(own).lower()).split("\0")
+        if len(low) != len(texts):
+            return out | judged
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in low])])
+        joined = " ".join(low)
+        t = trigrams(joined, squeeze=False)
+        if len(t) == 0:
+            return out
+        # Blanks before and after sentences, as places in the padded text: trigram k begins at sign k.
+        signs = np.frombuffer(f" {joined} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+        blanks = np.flatnonzero(signs == 32)
+        bounds = np.union1d(blanks[np.isin(signs[blanks - 1], _STOPS)], starts)
         for ratio in self.ratio:
             sums = np.concatenate([[0.0], np.cumsum(ratio[t])])
-            at = np.flatnonzero((sums[WINDOW:] - sums[:-WINDOW]) / WINDOW >= MARK * 0.8)
-            hit = np.searchsorted(ends, at + WINDOW // 2, side="right")
-            out[hit[hit < len(out)]] = True
+            at = [np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= (MARK - 1e-6) * WINDOW)]
+            for m in range(1, WINDOW + 1):
+                size = bounds[m:] - bounds[:-m] - 1
+                short = (size > 0) & (size < WINDOW)
+                first, size = bounds[:-m][short], size[short]
+                at.append(first[sums[first + size] - sums[first] >= (MARK - 1e-6) * size])
+            hit = np.searchsorted(starts, np.concatenate(at), side="right") - 1
+            out[hit[judged[hit]]] = True
         return out
 
     def shows(self, text: str, part: str = "block") -> bool:
