@@ -152,3 +152,20 @@ def test_page_source(spark):
     assert sorted((r.url, r.status) for r in quiet.collect()) == [(u, None) for u in urls]
     failing = spark.read.format("web_pages").option("urls", json.dumps(urls[:1])).option("backend", "json:loads").load().first()
     assert failing.error and failing.html is None
+
+
+def test_queue_and_seeds_use_the_selectors_of_the_source(spark):
+    from weftline.plans import pipelines as pl
+
+    html = "<html><head><title>General</title></head><body><h2 class=t>Chosen title</h2><div class=b>The chosen text of the story.</div><p>Other text.</p></body></html>"
+    given = {"article_title_selector": "h2.t", "article_content_selector": "div.b"}
+    sources = spark.createDataFrame([("s", "https://a.example", None, None, given), ("s", "https://a.example", None, None, None), ("t", "https://b.example", None, None, {})], "name string, base_url string, parser_config_name string, rss_feed string, extraction_selectors map<string,string>")
+    pages = spark.createDataFrame([(1, "https://a.example/1", html, "s"), (2, "https://a.example", '<html><body><a href="https://a.example/1">A long story about the council</a></body></html>', "s")], "page_id long, url string, html string, source_name string")
+    items = spark.createDataFrame([("https://a.example/1", "s"), ("https://a.example/1", "t"), ("https://a.example/1", None)], "link string, source_name string")
+    got = {r.source_name: r for r in pl.process_queue(items, sources, pages).collect()}
+    assert got["s"].extraction_method == "custom_css" and got["s"].title == "Chosen title" and got["s"].text == "The chosen text of the story."
+    assert got["t"].extraction_method == got[None].extraction_method == "general" and len(got) == 3
+    robots = spark.createDataFrame([("a.example", "")], "authority string, body string")
+    seeds = spark.createDataFrame([("https://a.example",)], "url string")
+    found = pl.seed_pages(seeds, pages, robots, sources).collect()
+    assert [r.article.method for r in found] == ["custom_css"]

@@ -18,22 +18,34 @@ def discover_feeds(sources: DataFrame, homes: DataFrame) -> DataFrame:
     return sources.join(h, "base_url", "left").withColumn("rss_feed", F.when(flow.needs_crawl(F.col("rss_feed")), F.col("__f")).otherwise(F.col("rss_feed"))).drop("__f")
 
 
+def _selectors(sources: DataFrame, limit: int = 100_000) -> DataFrame:
+    """source_name, selectors of every source that has any (the least by their entries, if it is given twice)."""
+    entries = F.array_sort(F.map_entries("extraction_selectors"))
+    one = sources.filter("name is not null and size(extraction_selectors) > 0").groupBy(F.col("name").alias("source_name")).agg(F.map_from_entries(F.min(entries)).alias("selectors"))
+    return F.broadcast(one) if sources.limit(limit + 1).count() <= limit else one
+
+
 def process_queue(items: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
-    """Queue items joined with their source and page, their articles extracted and kept if sufficient; the article's fields win."""
+    """Queue items joined with their source and page, their articles extracted with the selectors of the item's source and
+    kept if sufficient; the article's fields win. A page is read once for each source that queued it."""
     q = flow.with_source(items, sources)
-    a = extract.cascade(pages).join(pages.select("page_id", "url"), "page_id").select(F.col("url").alias("link"), "article")
-    a = a.groupBy("link").agg(F.min("article").alias("article"))
-    j = q.join(a, "link").filter(flow.sufficient(F.col("article.title"), F.col("article.text")))
+    asked = items.select("link", "source_name").distinct().join(_selectors(sources), "source_name", "left")
+    p = pages.select("page_id", F.col("url").alias("link"), "html").join(asked, "link").withColumn("page_id", F.struct("page_id", "link", "source_name"))
+    a = extract.cascade(p, "selectors").select("page_id.link", F.col("page_id.source_name").alias("__source"), "article")
+    a = a.groupBy("link", "__source").agg(F.min("article").alias("article")).withColumnRenamed("link", "__link")
+    j = q.join(a, (F.col("link") == F.col("__link")) & F.col("source_name").eqNullSafe(F.col("__source"))).drop("__link", "__source").filter(flow.sufficient(F.col("article.title"), F.col("article.text")))
     return j.withColumn("title", F.col("article.title")).withColumn("text", F.col("article.text")).withColumn("extraction_method", F.col("article.method")).drop("article")
 
 
-def seed_pages(seeds: DataFrame, pages: DataFrame, robots: DataFrame, agent: str = "*", n: int = 10, threshold: float | None = None) -> DataFrame:
-    """Articles behind the best links of seed pages: robots, links, score and top-n come before any page is read."""
+def seed_pages(seeds: DataFrame, pages: DataFrame, robots: DataFrame, sources: DataFrame, agent: str = "*", n: int = 10, threshold: float | None = None) -> DataFrame:
+    """Articles behind the best links of seed pages: robots, links, score and top-n come before any page is read,
+    with the selectors of its source."""
     rules = rb.rules(robots)
     start = rb.allowed(seeds, rules, agent).filter("allowed").select("url")
     links = flow.top_links(rb.allowed(flow.page_links(pages.join(start, "url", "left_semi")), rules, agent).filter("allowed").drop("allowed"), n, threshold)
     hit = pages.join(links.select("url").distinct(), "url", "left_semi")
-    return extract.cascade(hit).filter(flow.sufficient(F.col("article.title"), F.col("article.text")))
+    a = extract.cascade(hit.join(_selectors(sources), "source_name", "left"), "selectors")
+    return a.filter(flow.sufficient(F.col("article.title"), F.col("article.text")))
 
 
 def scan_policies(domains: DataFrame) -> DataFrame:
