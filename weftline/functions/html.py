@@ -246,3 +246,194 @@ def select(root: Node, selector: str | None) -> list[Node]:
 def text_of(n: Node, joint: str = "") -> str:
     """The visible text of an element, block by block."""
     return joint.join(s.text for s in stretches(n)) if joint else clean(" ".join(s.text for s in stretches(n)))
+
+
+_HEADED = frozenset("title meta link base style script noscript template".split())
+#: Inline elements that may hold a byline or a date and then count as blocks of their own.
+_MAY_STAND_ALONE = INLINE - {"a", "b", "i", "em", "strong"}
+_NAME = re.compile(r"(?i)(?:^|[.#_-])(?:by(?:line)?|author|writer|meta|dateline|credit|published)(?:$|[.#_\[-])|itemprop=(?:author|date)")
+
+
+@lru_cache(maxsize=100_000)
+def names_byline(style: str) -> bool:
+    """Whether the name of an element says that it holds a byline or a date."""
+    return _NAME.search(style) is not None
+
+
+@lru_cache(maxsize=50_000)
+def _opened(name: str, given: str | None) -> tuple[str, str, bool]:
+    """Tag, style and whether the element stands within a line, of a start tag."""
+    tag = name.lower()
+    attrs = _attrs(given) if given else _NONE
+    style = style_of(tag, attrs.get("class"), attrs.get("id"), attrs.get("role"), attrs.get("itemprop")) if attrs else tag
+    inline = tag in INLINE
+    if inline and attrs and tag in _MAY_STAND_ALONE and names_byline(style):
+        style, inline = "byline" + style[len(tag) :], False
+    return tag, style, inline
+
+
+#: What a link must hold for its style to be more than its tag.
+_NAMED_LINK = re.compile(r"(?i)\b(?:class|id|role|itemprop)\s*=")
+
+
+class Open:
+    """An element that is open while a page is read."""
+
+    __slots__ = ("tag", "given", "style", "inline", "path", "nodes", "hint", "up")
+
+    def __init__(self, tag: str, given: str | None, style: str, inline: bool, up: Open | None):
+        self.tag, self.given, self.style, self.inline, self.up, self.path = tag, given, style, inline, up, None
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        return _attrs(self.given) if self.given else _NONE
+
+
+def read_stretches(page: str, steps: list[tuple[bool, str, list[str]]], silent: frozenset[str] = SILENT) -> list[tuple]:
+    """The text stretches of a page in one pass, without building its tree.
+
+    Each is (path of styles, numbers of the elements of that path, text, characters in links, ended by a line break, begins
+    with a link, stands in an element that the steps of a selector name).
+    """
+    out: list[tuple] = []
+    root = Open("#root", None, "", False, None)
+    root.path, root.nodes, root.hint = "", [], False
+    stack, top = [root], root
+    buffer: list[str] = []
+    links = linked = quiet = number = 0
+    leads = any_text = False
+
+    def locate(e: Open) -> None:
+        nonlocal number
+        if e.tag == "html" or e.tag == "body":
+            e.path, e.nodes, e.hint = "", [], False
+            return
+        up = e.up
+        if up.path is None:
+            locate(up)
+        e.path = f"{up.path}>{e.style}" if up.path else e.style
+        e.nodes = [*up.nodes, number]
+        number += 1
+        e.hint = up.hint or bool(steps) and _fits(e, steps[-1]) and ends(_chain(e), steps)
+
+    def flush(breaks: bool = False) -> None:
+        nonlocal linked, leads, any_text
+        if any_text:
+            text = " ".join(buffer[0].split() if len(buffer) == 1 else "".join(buffer).split())
+            if "&" in text:
+                text = " ".join(html.unescape(text).split())
+            if text:
+                e = top
+                while e.inline:
+                    e = e.up
+                if e.path is None:
+                    locate(e)
+                out.append((e.path, e.nodes, text, linked, breaks, leads, e.hint))
+            linked, leads, any_text = 0, False, False
+        buffer.clear()
+
+    def close(n: int) -> None:
+        """Ends the elements from place n of the stack on."""
+        nonlocal top, links, quiet
+        while len(stack) > n:
+            if top.tag in silent:
+                quiet -= 1
+            elif not quiet and not top.inline:
+                flush()
+            if top.tag == "a":
+                links -= 1
+            stack.pop()
+            top = stack[-1]
+
+    at, size, tokens = 0, len(page), _TOKEN.finditer(page)
+    while True:
+        m = next(tokens, None)
+        start = m.start() if m is not None else size
+        if start > at and not quiet:
+            text = page[at:start]
+            buffer.append(text)
+            if not text.isspace():
+                if not any_text:
+                    any_text, leads = True, links > 0
+                if links:
+                    linked += len(text.strip())
+        if m is None:
+            break
+        at = m.end()
+        end, name, given, loose, rest = m.groups()
+        if end:
+            tag = end.lower()
+            if top.tag == tag:
+                close(len(stack) - 1)
+                continue
+            inline = tag in INLINE
+            for k in range(len(stack) - 1, 0, -1):
+                e = stack[k]
+                if e.tag == tag:
+                    close(k)
+                    break
+                if inline and e.tag not in INLINE:
+                    break
+            continue
+        if not (name or loose):
+            continue
+        given = given or rest or None
+        if (name == "a" or name == "A") and not (given and _NAMED_LINK.search(given)):
+            tag, style, inline = "a", "a", True  # most links have an address of their own; they are not worth remembering
+        else:
+            tag, style, inline = _opened(name or loose, given)
+        if top.tag == "head" and tag not in _HEADED:
+            close(len(stack) - 1)
+        if tag in _BLOCKS and (top.tag == "p" or top.tag in INLINE):
+            k = len(stack) - 1
+            while stack[k].tag in INLINE:
+                k -= 1
+            if stack[k].tag == "p":
+                close(k)
+        if tag in _CLOSES:
+            k, stop, ended = len(stack) - 1, _SCOPE[tag], 0
+            while k > 0 and stack[k].tag not in stop:
+                if stack[k].tag in _CLOSES[tag]:
+                    ended = k
+                    if tag != "tr":
+                        break
+                k -= 1
+            if ended:
+                close(ended)
+        if tag in _RAW:
+            found = _RAW[tag].search(page, at)
+            if tag == "title" and not quiet:
+                flush()
+                stack.append(Open(tag, given, style, False, top))
+                top = stack[-1]
+                buffer.append(page[at : found.start() if found else size])
+                any_text = True
+                close(len(stack) - 1)
+            at = found.end() if found else size
+            tokens = _TOKEN.finditer(page, at)
+        elif tag in VOID:
+            if not quiet and (tag == "br" or tag == "hr"):
+                flush(tag == "br")
+        elif len(stack) <= DEEPEST:
+            if tag in silent:
+                quiet += 1
+            elif not inline and not quiet:
+                flush()
+            top = Open(tag, given, style, inline, top)
+            stack.append(top)
+            if tag == "a":
+                links += 1
+        elif not inline and not quiet and tag not in silent:
+            flush()
+    close(1)
+    flush()
+    return out
+
+
+def _chain(e: Open) -> list[Open]:
+    out = []
+    while e.up is not None:
+        if e.tag not in ("html", "body"):
+            out.append(e)
+        e = e.up
+    return out[::-1]
