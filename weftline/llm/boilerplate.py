@@ -4,14 +4,15 @@
 2. The pages of a host are merged into one style tree: per node the contents of all pages are counted and the node's
    importance is the normalised entropy of those contents, near 0 where all pages show the same and 1 where every page
    shows something else. The same counts over all hosts, by the kind of node that the end of its path names, also tell of nodes
-   that a host shows too rarely.
+   that a host shows too rarely. A content counts once per article: pages fetched again, or given under other addresses,
+   don't make it look like boilerplate.
 3. On each page branches of low importance go, and so do those that are mostly links; of what is left the container nearest
-   to the headline with the most text is the article. The configured selector raises the weight of what it matches, no more,
-   as it may be missing or wrong.
+   to the headline with the most text is the article, with the containers of its own make beside it. The configured selector
+   raises the weight of what it matches, no more, as it may be missing or wrong.
 
-Counting is partial before it is shuffled, so a host with a third of all pages is no hot spot. The finished tree has one
-row per node that was seen twice; it is broadcast only up to TREE_ROWS rows, beyond that pages meet their host's part of
-the tree, and of the kinds that their host uses, in a join.
+Nodes and contents travel as 64-bit hashes. Counting is partial before it is shuffled, so a host with a third of all pages is
+no hot spot. Only the nodes of low importance are needed afterwards; up to LOW_ROWS of them are broadcast, beyond that the
+nodes of every page meet them in a join.
 """
 
 from __future__ import annotations
@@ -22,33 +23,36 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from weftline.functions.html import INLINE, SILENT, Node, css_steps, ends, parse, stretches
+from weftline.functions.html import SILENT, css_steps, names_byline, read_stretches
 from weftline.session import through_table
 
-#: Style tree rows (each under 100 bytes) up to which the tree is broadcast.
-TREE_ROWS = 400_000
+#: Nodes of low importance (8 bytes each) up to which they are broadcast.
+LOW_ROWS = 1_000_000
 #: Branches below this importance are noise; nodes seen less often than SEEN on their host are judged over all hosts.
 LEAST_IMPORTANCE, SEEN = 0.62, 12
 #: Stretches with LINKED of their characters in links are links; ones that begin with a link and hold LEAD of them in links
 #: are teasers, and containers with TEASERS of their stretches being either are lists of links.
 LINKED, LEAD, TEASERS = 0.62, 0.2, 0.4
+#: How many of a page's longest stretches tell whether it is the same article again.
+LONGEST = 5
 
-#: A page that was read: path and content hash of every stretch for the style tree, and the stretches packed for choose.
-READ = "page_id bigint, host string, paths array<string>, contents array<bigint>, packed binary"
+#: A page that was read: hashes of the node of every stretch, of its kinds and of its content, for the style tree; mark, one of
+#: 64 numbers drawn from the article; the stretches packed for choose.
+READ = "page_id bigint, host string, page_hash bigint, mark tinyint, nodes array<bigint>, kinds array<bigint>, lasts array<bigint>, contents array<bigint>, packed binary"
 PARTS = "page_id bigint, no int, part string, tag string, text string"
 
 _PLAIN = frozenset("p ul ol li dl dt dd blockquote q pre h2 h3 h4 h5 h6 center".split())
 _NOISE_TAGS = frozenset("nav header footer aside figure figcaption form menu button dialog small".split())
 _HEAD = frozenset("h1 title".split())
-# What the names of bylines and of reader comments hold.
-_BYLINE = re.compile(r"(?i)(?:^|[.#_-])(?:by(?:line)?|author|writer|meta|dateline|credit|published)(?:$|[.#_\[-])|itemprop=(?:author|date)")
+# What the names of reader comments hold.
 _COMMENTS = re.compile(r"(?i)(?:^|[.#_-])(?:comments?|cm|discussion|replies|respond|disqus)(?:$|[.#_\[-])")
 _SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’»“„)\]]*$")
 
@@ -62,47 +66,19 @@ def fold(text: str) -> str:
 
 def read_page(page: str, selector: str | None) -> list[tuple]:
     """The text stretches of a page in order, as (path, element numbers, text, linked, breaks, leads, hint)."""
-    root = parse(page)
-    known: dict[int, tuple[str, list[int], list[Node], bool]] = {}
-    _mark(root)
     steps = css_steps(selector)
-    out = []
-    found = stretches(root)
-    if not found:  # a page of scripts alone: what it shows without them
-        found = stretches(root, SILENT - {"noscript"})
-    def place(n: Node | None) -> tuple[str, list[int], list[Node], bool]:
-        if n is None or n.tag in ("#root", "html", "body"):
-            return "", [], [], False
-        if (at := known.get(id(n))) is None:
-            path, nodes, chain, hint = place(n.parent)
-            chain = [*chain, n]
-            at = known[id(n)] = (f"{path}>{n.style}" if path else n.style, [*nodes, len(known)], chain, hint or bool(steps) and ends(chain, steps))
-        return at
-
-    for s in found:
-        path, nodes, _, hint = place(s.node)
-        out.append((path, nodes, s.text, s.linked, s.breaks, s.leads, hint))
-    return out
-
-
-_MAY_HOLD_BYLINE = INLINE - {"a", "b", "i", "em", "strong"}
+    # A page of scripts alone: what it shows without them.
+    return read_stretches(page, steps) or read_stretches(page, steps, SILENT - {"noscript"})
 
 
-@lru_cache(maxsize=100_000)
-def _names_byline(style: str) -> bool:
-    return _BYLINE.search(style) is not None
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _mark(root: Node) -> None:
-    """Inline elements that hold a byline or a date become blocks of their own."""
-    stack = [root]
-    while stack:
-        for c in stack.pop().children:
-            if type(c) is not str:
-                if c.attrs and c.tag in _MAY_HOLD_BYLINE and _names_byline(c.style):
-                    c.tag = "byline"
-                if c.children and c.tag not in SILENT:
-                    stack.append(c)
+def article_mark(rows: list[tuple], contents: list[int]) -> int:
+    """One of 64 numbers for the article of a page, the same where the page is fetched again or given elsewhere."""
+    own = sorted(range(len(rows)), key=lambda i: (2 * rows[i][3] > len(rows[i][2]), -len(rows[i][2])))[:LONGEST]
+    return _digest(",".join(map(str, sorted(contents[i] for i in own)))) & 63
 
 
 def read_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -118,14 +94,14 @@ def read_pages(pages: DataFrame, sources: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                paths, contents, packed = [], [], []
-                for page, selector in zip(part.column("html").to_pylist(), part.column("__selector").to_pylist(), strict=True):
-                    rows = read_page(page, selector)
-                    paths.append([r[0] for r in rows])
-                    contents.append([xxhash.xxh64_intdigest(fold(r[2])) - (1 << 63) for r in rows])
-                    packed.append(marshal.dumps(rows))
-                hosts = [_host(u) for u in part.column("url").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, schema.field("paths").type), pa.array(contents, schema.field("contents").type), pa.array(packed, pa.binary())], schema=schema)
+                cols: list[list] = [[] for _ in schema]
+                for page_id, url, page, selector in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "__selector")), strict=True):
+                    rows, host = read_page(page, selector), _host(url)
+                    contents = [_digest(fold(r[2])) for r in rows]
+                    at = [entries(host, r[0]) for r in rows]
+                    for c, v in zip(cols, (page_id, host, _digest(f"{host}\n{page}"), article_mark(rows, contents), *([e[i] for e in at] for i in range(3)), contents, marshal.dumps(rows)), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return p.join(hints, "source_name", "left").select("page_id", "url", "html", "__selector").mapInArrow(read, READ)
 
@@ -149,30 +125,29 @@ def kind(path: str) -> str:
     return m[1] if m else path
 
 
-def kinds_of(path: str) -> set[str]:
-    """The kinds that vote on a node. A last element without a name, as the p of all paragraphs, is no kind of its own."""
-    last = path.rpartition(">")[2]
-    return {kind(path), last} if _NAMED.search(last) else {kind(path)}
-
+@lru_cache(maxsize=200_000)
+def entries(host: str, path: str) -> tuple[int | None, int | None, int | None]:
+    """The entries of the style tree that vote on a node: the node on its host, its kind on all hosts, and its last element.
 
-def _kinds() -> Column:
-    """kinds_of the column path."""
-    tail = F.regexp_extract("path", KIND, 1)
-    last = F.element_at(F.split("path", ">"), -1)
-    return F.when(last.rlike(r"[.#\[]") & (tail != last), F.array(tail, last)).otherwise(F.array(tail))
+    A last element without a name, as the p of all paragraphs, is no kind of its own; nor is text outside all elements a node.
+    """
+    if not path:
+        return None, None, None
+    own, last = kind(path), path.rpartition(">")[2]
+    return _digest(f"{host}\n{path}"), _digest(own), _digest(last) if last != own and _NAMED.search(last) else None
 
 
 def style_tree(read: DataFrame) -> DataFrame:
-    """host, path, seen, importance of every node of the merged pages; host '*' holds the kinds of nodes over all hosts.
+    """entry, seen, importance of every entry of the merged pages, see entries.
 
-    A kind is the end of a path as in KIND, and the last element alone if it has a class, an id or a role.
+    How many articles show a content is estimated from their marks by linear counting up to about 200, and is the number of
+    pages beyond; so an article that is fetched any number of times counts once.
     """
-    s = read.select("host", F.inline(F.arrays_zip(F.col("paths").alias("path"), F.col("contents").alias("content")))).toDF("host", "path", "content").filter("path <> ''")
-    one = s.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("c"))
-    every = one.select(F.explode(_kinds()).alias("path"), "content", "c").groupBy("path", "content").agg(F.sum("c").alias("c")).select(F.lit("*").alias("host"), "path", "content", "c")
-    both = one.unionByName(every)
-    tree = both.groupBy("host", "path").agg(F.sum("c").alias("seen"), F.sum(F.col("c") * F.log("c")).alias("repeats"))
-    return tree.filter("seen > 1").select("host", "path", "seen", (1 - F.col("repeats") / (F.col("seen") * F.log("seen"))).alias("importance"))
+    each = read.select("mark", F.inline(F.arrays_zip("nodes", "kinds", "lasts", "contents"))).select("mark", F.col("contents").alias("content"), F.explode(F.array("nodes", "kinds", "lasts")).alias("entry"))
+    one = each.filter("entry is not null").groupBy("entry", "content").agg(F.count(F.lit(1)).alias("rows"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, mark)"))).alias("marks"))
+    pages = F.when((F.col("rows") == 1) | (F.col("marks") > 61), F.col("rows")).otherwise(F.least(F.col("rows"), F.round(-64 * F.log(1 - F.col("marks") / 64))))
+    tree = one.select("entry", pages.cast("double").alias("c")).groupBy("entry").agg(F.sum("c").alias("seen"), F.sum(F.col("c") * F.log("c")).alias("repeats"))
+    return tree.filter("seen > 1").select("entry", "seen", (1 - F.col("repeats") / (F.col("seen") * F.log("seen"))).alias("importance"))
 
 
 @lru_cache(maxsize=200_000)
@@ -180,26 +155,12 @@ def _facts(path: str) -> tuple[list[str], list[str], bool, bool, bool]:
     """Styles and tags of a path; whether it runs through noise or comments; whether it ends at a byline."""
     styles = path.split(">") if path else []
     tags = [re.split(r"[.#\[]", x, maxsplit=1)[0] for x in styles]
-    byline = "byline" in tags or bool(styles) and _BYLINE.search(styles[-1]) is not None
+    byline = "byline" in tags or bool(styles) and names_byline(styles[-1])
     return styles, tags, any(t in _NOISE_TAGS for t in tags), any(_COMMENTS.search(x) for x in styles), byline
 
 
-class Tree:
-    """The style tree of a host, with what the kinds of its nodes say on all hosts."""
-
-    def __init__(self, nodes: dict[str, tuple[int, float]], kinds: dict[str, tuple[int, float]]):
-        self.nodes, self.kinds, self.known = nodes, kinds, {}
-
-    def importance(self, path: str) -> float:
-        """Of a node: the least of what its host and its kinds on all hosts say, each only if it was seen often enough."""
-        if (out := self.known.get(path)) is None:
-            votes = [self.nodes.get(path, (1, 1.0)), *(self.kinds.get(k, (1, 1.0)) for k in kinds_of(path))]
-            out = self.known[path] = min((i for n, i in votes if n >= SEEN), default=1.0)
-        return out
-
-
-def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
-    """(part, tag, text) of headline, byline and article blocks of one page of a host.
+def choose(rows: list[tuple], low: list[bool]) -> list[tuple[str, str, str]]:
+    """(part, tag, text) of headline, bylines and article blocks of one page; low tells which stretches are of low importance.
 
     A page with neither headline nor blocks gives all of its text as rest. A page with a headline whose nearest text was
     pruned gives that text as rest, as notices in place of an article repeat from page to page as menus do.
@@ -216,9 +177,8 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
     size: dict[int, int] = {}
     links: dict[int, int] = {}
     teaser = [r[3] >= LINKED * len(r[2]) or r[5] and r[3] >= LEAD * len(r[2]) for r in rows]
-    worth = [tree.importance(r[0]) for r in rows]
     for i, r in enumerate(rows):
-        if worth[i] < LEAST_IMPORTANCE or facts[i][2]:
+        if low[i] or facts[i][2]:
             continue
         for n in r[1]:
             size[n] = size.get(n, 0) + 1
@@ -234,6 +194,7 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
     scores: dict[int, float] = {}
     depth: dict[int, int] = {}
     held: dict[int, list[int]] = {}
+    chain: dict[int, tuple[list[int], list[str]]] = {}
     pruned: list[tuple[int, int]] = []
     for i, r in enumerate(rows):
         if i == head or not r[2]:
@@ -243,18 +204,18 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
             continue
         _, _, noise, comments, byline = facts[i]
         if byline and len(r[2]) < 120:
-            if head is not None and i > head and not noise and len(out) < 4:
+            if head is not None and not noise and not comments:
                 out.append(("byline", "byline", r[2]))
             continue
         if noise or comments:
             continue
         if r[3] >= LINKED * len(r[2]):
             continue
-        if worth[i] < LEAST_IMPORTANCE or head is not None and i < head:
+        if low[i] or head is not None and i < head:
             near = _shared(above, nodes)
             if head is not None and not teaser[i] and (i > head or near >= max(1, len(above) - 1)):
                 pruned.append((near, i))
-        if worth[i] < LEAST_IMPORTANCE:
+        if low[i]:
             continue
         # The container: the nearest element that is no paragraph, list or the like.
         k = len(nodes) - 1
@@ -269,10 +230,11 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
         weight = len(r[2]) * (1.5 if r[6] else 1.0) * (1.0 if _SENTENCE.search(r[2]) else 0.3)
         scores[c] = scores.get(c, 0) + weight
         depth[c] = _shared(above, nodes[: k + 1])
+        chain[c] = nodes[: k + 1], st[: k + 1]
     near = max(depth.values(), default=-1)
     if scores:
         best = max((c for c in scores if depth[c] == near), key=lambda c: (scores[c], -c))
-        for i in held[best]:
+        for i in sorted(i for c in held if c == best or _belongs(*chain[c], *chain[best]) for i in held[c]):
             out.append(("block", tags[i][-1] if tags[i] else "", rows[i][2]))
     elif head is None:
         out += [("rest", tags[i][-1] if tags[i] else "", r[2]) for i, r in enumerate(rows) if r[2]]
@@ -280,6 +242,14 @@ def choose(rows: list[tuple], tree: Tree) -> list[tuple[str, str, str]]:
     return out
 
 
+def _belongs(nodes: list[int], styles: list[str], best: list[int], made: list[str]) -> bool:
+    """Whether a container is part of the article that has its best one: beside it and made alike, or in it without a name."""
+    n = len(best)
+    if len(nodes) == n:
+        return n > 1 and nodes[:-1] == best[:-1] and styles == made
+    return n > 0 and nodes[:n] == best and not any(_NAMED.search(x) for x in styles[n:])
+
+
 def _shared(above: list[int], nodes: list[int]) -> int:
     """How many outer elements two stretches have in common."""
     n = 0
@@ -291,46 +261,55 @@ def _shared(above: list[int], nodes: list[int]) -> int:
 
 
 def article_parts(pages: DataFrame, sources: DataFrame) -> DataFrame:
-    """PARTS: headline, byline and article blocks of every page that has any, in order (else all its text as rest).
+    """PARTS: headline, bylines and article blocks of every page that has any, in order (else all its text as rest).
 
     Pages with null or empty html and null page_id give nothing; a page given twice gives its rows twice. Texts are whole.
     """
     read = through_table(read_pages(pages, sources), "stretches")
-    tree = through_table(style_tree(read), "style-tree")
-    kinds = tree.filter("host = '*'").select("path", "seen", "importance")
-    nodes = tree.filter("host <> '*'").withColumn("common", F.lit(False))
-    small = kinds.count() <= TREE_ROWS
-    if not small:
-        used = read.select("host", F.explode("paths").alias("path")).filter("path <> ''").distinct().select("host", F.explode(_kinds()).alias("path")).distinct()
-        nodes = nodes.unionByName(used.join(kinds, "path").withColumn("common", F.lit(True)))
-    own = nodes.groupBy("host").agg(F.collect_list(F.struct("common", "path", "seen", "importance")).alias("__tree"))
-    shared = pages.sparkSession.sparkContext.broadcast({p: (n, i) for p, n, i in kinds.collect()} if small else None)
-    if tree.count() <= TREE_ROWS:
-        own = F.broadcast(own)
+    low = through_table(style_tree(read).filter((F.col("seen") >= SEEN) & (F.col("importance") < LEAST_IMPORTANCE)).select("entry"), "style-tree")
+    if low.limit(LOW_ROWS + 1).count() <= LOW_ROWS:
+        shared = pages.sparkSession.sparkContext.broadcast(np.sort(low.toArrow().column("entry").to_numpy()))
+        told = read.select("page_id", "host", "packed", F.lit(None).cast("array<bigint>").alias("__low"))
+    else:
+        shared = None
+        used = read.select("page_hash", F.explode(F.array_distinct(F.concat("nodes", "kinds", "lasts"))).alias("entry")).distinct()
+        hits = used.join(low, "entry", "left_semi").groupBy("page_hash").agg(F.collect_list("entry").alias("__low"))
+        told = read.join(hits, "page_hash", "left").select("page_id", "host", "packed", F.coalesce("__low", F.array().cast("array<bigint>")).alias("__low"))
 
     schema = to_arrow_schema(_parse_datatype_string(PARTS))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everywhere = shared.value
-        trees: dict[str, Tree] = {}
+        known: dict[tuple[str, str], bool] = {}
+        sorted_low = None if shared is None else shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                nodes = part.column("__tree")
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
                 out: list[tuple] = []
-                for j, (page, host, packed) in enumerate(zip(*(part.column(c).to_pylist() for c in ("page_id", "host", "packed")), strict=True)):
-                    if host not in trees:
-                        if len(trees) > 2000:
-                            trees.clear()
-                        given: tuple[dict, dict] = {}, {}
-                        for x in nodes[j].as_py() or ():
-                            given[x["common"]][x["path"]] = x["seen"], x["importance"]
-                        trees[host] = Tree(given[False], given[True] if everywhere is None else everywhere)
-                    out += [(page, no, *x) for no, x in enumerate(choose(marshal.loads(packed), trees[host]))]
+                for page, host, packed, own in zip(*(part.column(c).to_pylist() for c in ("page_id", "host", "packed", "__low")), strict=True):
+                    rows = marshal.loads(packed)
+                    if sorted_low is None:
+                        held = set(own)
+                        low = [any(e in held for e in entries(host, r[0])) for r in rows]
+                    else:
+                        low = []
+                        for r in rows:
+                            if (is_low := known.get((host, r[0]))) is None:
+                                if len(known) > 200_000:
+                                    known.clear()
+                                is_low = known[host, r[0]] = _is_in(sorted_low, entries(host, r[0]))
+                            low.append(is_low)
+                    out += [(page, no, *x) for no, x in enumerate(choose(rows, low))]
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return read.join(own, "host", "left").select("page_id", "host", "packed", "__tree").mapInArrow(pick, PARTS)
+    return told.mapInArrow(pick, PARTS)
+
+
+def _is_in(values: np.ndarray, own: tuple[int | None, ...]) -> bool:
+    for e in own:
+        if e is not None and (at := int(np.searchsorted(values, e))) < len(values) and values[at] == e:
+            return True
+    return False
 
 
 def block_hashes(parts: DataFrame, residue: Callable[[DataFrame], DataFrame]) -> DataFrame:
