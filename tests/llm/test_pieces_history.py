@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm.history import FAN_IN, Forest, _ranges, canonical_address, dedupe_batches, label, prefix_levels
+from weftline.llm.history import DEPTH, FAN_IN, TREES, Forest, canonical_address, dedupe_batch, dedupe_batches, prefix_levels, signatures
 from weftline.llm.pieces import oversized, split_sections
 
 SECTION = "section_id long, text string, start_line int, end_line int, profile string, text_id string"
@@ -89,21 +89,78 @@ def test_batches_against_brute_force(spark):
     assert empty[0].count() == 0 and empty[1].count() == 0
 
 
-def test_forest_merges_runs_and_searches_by_range(spark, tmp_path, monkeypatch):
-    from pyspark.sql import functions as F
+def entries(spark, addresses):
+    """item, address, labels of (item, address)."""
+    forms = [a for _, a in addresses]
+    return spark.createDataFrame([(i, a, k) for (i, a), k in zip(addresses, signatures(forms), strict=True)], "item long, address string, labels array<string>")
 
-    monkeypatch.setattr("weftline.llm.history.MAX_BROADCAST", 7)
-    f = Forest(spark, str(tmp_path))
+
+@pytest.mark.parametrize("most", [7, 200_000])
+def test_forest_merges_runs_and_opens_again(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr("weftline.llm.history.MAX_BROADCAST", most)
+    f = Forest.create(spark, str(tmp_path))
     for k in range(FAN_IN + 3):
-        b = spark.range(k * 10, k * 10 + 20).select(F.col("id").alias("item"), F.concat(F.lit("a.example/"), F.col("id").cast("string")).alias("address"))
-        out = f.add(b.withColumn("label", label(F.col("address"))), 20, f"b{k}")
+        out = f.add(entries(spark, [(i, f"a.example/{i}") for i in range(k * 10, k * 10 + 20)]), 20)
         assert out.filter("accepted").count() == (20 if k == 0 else 10) and out.filter("not accepted and rep <> item").count() == 0
+        f = Forest.open(spark, str(tmp_path))
     assert len(f.runs) < FAN_IN + 3 and f.accepted().count() == f.accepted().select("address").distinct().count() == (FAN_IN + 3) * 10 + 10
-    assert len(_ranges(20)) == 3 and _ranges(5) == [(None, None)]
+    assert sum(x.rows for run in f.runs for x in run) == TREES * f.accepted().count() and all(x.low <= x.high for run in f.runs for x in run)
+
+
+def test_new_batch_reads_a_share_of_the_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("weftline.llm.history.FILE_ROWS", 200)
+    f = Forest.create(spark, str(tmp_path))
+    f.add(entries(spark, [(i, f"paper{i % 9}.example/news/{i * 7919 % 10007}-story") for i in range(6000)]), 6000)
+    files = sum(len(run) for run in f.runs)
+    assert files > 30
+    asked = entries(spark, [(9000 + i, f"paper{i}.example/news/{i * 7919 % 10007}-story") for i in range(4)]).selectExpr("labels[0] as prefix")
+    touched = f.touched(asked)
+    assert 1 <= len(touched) <= 4 and sum(x.rows for x in touched) < 0.2 * sum(x.rows for run in f.runs for x in run if x.low[0] == "0")
+    out = dedupe_batch(Forest.open(spark, str(tmp_path)), spark.createDataFrame([(9000, None, "https://paper0.example/news/0-story?utm_source=x", None), (9001, None, "https://new.example/1", None)], "item_no long, id string, link string, source_feed_url string"), 2)
+    assert {(r.item_no, r.rep, r.accepted) for r in out.collect()} == {(9000, 0, False), (9001, 9001, True)}
+
+
+def test_near_duplicates_are_found_with_the_wanted_recall(spark, tmp_path):
+    """Slugs with a changed letter or ending against history and batch, beside brute force over all pairs."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(300)]
+    base = [f"{rng.choice(words)}.example/{'/'.join(rng.choice(words) for _ in range(3))}/{'-'.join(rng.choice(words) for _ in range(8))}" for _ in range(400)]
+
+    def near(a):
+        k = rng.randrange(30, len(a))
+        return rng.choice([a[:k] + "q" + a[k + 1 :], a + "-2", a[:k] + a[k + 1 :]])
+
+    old = list(enumerate(base))
+    new = [(1000 + i, near(a) if i % 2 else f"{rng.choice(words)}.example/{'-'.join(rng.choice(words) for _ in range(9))}") for i, a in enumerate(base)]
+    new += [(3000 + i, near(a)) for i, (_, a) in enumerate(new) if i % 4 == 0]
+
+    def set_of(a):
+        return {a[i : i + 5] for i in range(len(a) - 4)}
+
+    sets = {i: set_of(a) for i, a in old + new}
+
+    def like(i, j):
+        both = len(sets[i] & sets[j])
+        return both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+
+    f = Forest.create(spark, str(tmp_path))
+    assert f.add(entries(spark, old), len(old), 0.8).filter("accepted").count() == len(old)
+    got = {r.item: r.rep for r in f.add(entries(spark, new), len(new), 0.8).collect()}
+    want = {j for j, _ in new if any(like(i, j) for i, _ in old + new if i < j)}
+    found = {j for j, r in got.items() if r != j}
+    assert found <= want and len(want) > 250 and len(found) >= 0.9 * len(want), (len(found), len(want))
+    assert all(like(r, j) for j, r in got.items() if r != j)
+
+
+def test_labels_are_equal_just_for_equal_forms():
+    a, b, c = signatures(["a.example/one-long-address", "a.example/one-long-address", "a.example/one-long-addresz"])
+    assert a == b and all(x != y for x, y in zip(a, c, strict=True)) and len(a) == TREES and len({x[1:5] for x in a}) > 1
+    assert signatures([None, "", "ab"])[0] is None and len(signatures(["x" * 100_000])[0][0]) == 1 + 4 * DEPTH + 16
+    assert signatures(["q"] + ["a.example/%d" % i for i in range(5000)])[4321] == signatures(["a.example/4320"])[0]
 
 
 def test_prefix_widens_until_the_recall_target():
-    assert prefix_levels(1.0, 0.99, 1) == 9
+    assert prefix_levels(1.0, 0.99, 1) == DEPTH + 1
     assert prefix_levels(0.95, 0.9, 8) >= prefix_levels(0.8, 0.9, 8) >= 1
     with pytest.raises(ValueError):
         prefix_levels(0.1, 0.99, 2)
