@@ -6,9 +6,10 @@ import pytest
 
 from weftline.llm.encode import VOCABULARY, Encoder, encode
 from weftline.llm.leaks import find_leaks, remove_leaks, words
-from weftline.llm.lookalike import Canonical, canonical, classes, equal_looking
+from weftline.llm.lookalike import PROTOTYPE, Canonical, Trie, canonical, classes, equal_looking
 
 DOC = "doc_id long, text string, ids string, item_id string, class_id string"
+ITEM = "item_id long, text string, doc_id string"
 have = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary files here")
 
 
@@ -49,19 +50,53 @@ def test_looks():
         assert c(c(x)) == c(x)
 
 
+def test_scripts_accents_and_spellings():
+    c = Canonical()
+    same = [("été", "\u0435\u0301t\u0435\u0301"), ("naïve", "na\u0456\u0308ve"), ("ёлка", "e\u0308лка"), ("оса и море", "oca и море"), ("Χалск", "Халск"), ("\U0001d5e7\U0001d5f2\U0001d605\U0001d601 Ⅷ", "Text VIII"), ("ɑɡe", "age"), ("ᎪᏴ ꓮꓐ ⲂⲎ", "AB AB BH"), ("3 − 2", "3 - 2"), ("Ορα", "Opa"), ("λογος", "λoγoς"), ("rope cop", "rоpе сор"), ("The cop said \u2002no", "The cop ѕаid  no")]
+    for a, b in same:
+        assert c(a) == c(b), (a, b, c(a), c(b))
+        assert c(c(a)) == c(a)
+    assert c("оса и море") == "оса и море" and c("rоpе сор now") == "rope cop now" and c("λoγoς") == "λογος"
+    assert c("е") != c("ё") and c("Н") != c("н")
+
+
+def test_automaton_costs():
+    t = Trie(["paper", "raper", "море", "mope"])
+    assert t.accepted("pарer") == [(0, 0, "paper")] and t.accepted("pa\u200bper") == [(0, 0, "paper")]
+    assert t.accepted("paxer") == [] and t.accepted("paxer", 1) == [(1, 0, "paper")] and [x[0] for x in t.accepted("aper", 1)] == [1, 1]
+    assert t.accepted("papper", 1) == [(1, 0, "paper")] and t.accepted("paperrr", 1) == []
+    assert [w for _, _, w in t.accepted("mоpе", 2)][0] == "mope"
+
+
+def test_both_cases_of_every_look_alike_fold_to_one():
+    for a, b in PROTOTYPE.items():
+        assert words(a, "") == words(b, ""), (a, b)
+        if {PROTOTYPE.get(x, b).lower() for x in (a.upper(), a.lower())} == {b.lower()}:  # not nu and upsilon, whose cases look like other letters
+            assert words(a.upper(), "") == words(a.lower(), ""), a
+
+
+def test_spans_of_items_that_overlap_are_cut_whole(spark):
+    text = " ".join(f"w{i}" for i in range(1, 30))
+    df = spark.createDataFrame([(1, text, "", "", "")], DOC)
+    it = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1, 13)), ""), (2, " ".join(f"w{i}" for i in range(7, 19)), "")], ITEM)
+    got = {(r.text, r.removed_chars) for m in (10, 1000) for r in remove_leaks(df, it, 12, max_windows=m, path="").collect()}
+    assert len(got) == 1 and got.pop()[0].split() == [f"w{i}" for i in range(19, 30)]
+
+
 def test_equal_looking_pairs(spark):
     rows = [(1, "Hello World", "", "", ""), (2, "Hello\u00a0World", "", "", ""), (3, "Ηello World", "", "", ""), (4, "Hello World", "", "", ""), (5, None, "", "", ""), (6, "\u200b", "", "", ""), (7, " ", "", "", ""), (8, "hello world", "", "", ""), (None, "Hello World", "", "", ""), (9, "x" * 200000, "", "", ""), (9, "x" * 200000, "", "", "")]
     df = spark.createDataFrame(rows, DOC)
     got = sorted((r.doc_id_a, r.doc_id_b) for r in equal_looking(df, "").collect())
     assert got == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
-    few = sorted((r.doc_id_a, r.doc_id_b) for r in equal_looking(df, "", copies=1).collect())
-    assert few == [(1, 2), (1, 3), (2, 3)]
+    # Beyond the limit every document of the class has a pair with another text, and the pairs grow with the documents.
+    few = {(r.doc_id_a, r.doc_id_b) for r in equal_looking(df, "", all_pairs=3).collect()}
+    assert few == {(1, 2), (1, 3), (2, 4)} and few <= set(got)
     assert {r.doc_id for r in classes(df, "").collect()} == {1, 2, 3, 4, 8, 9}
     assert equal_looking(df.limit(0), "").count() == 0
     assert df.select(canonical(df.text, "").alias("t")).filter("t is null").count() == 1
 
 
-ITEM = "item_id long, text string, doc_id string"
+
 
 
 def brute(docs, items, n):

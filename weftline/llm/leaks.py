@@ -12,6 +12,7 @@ broadcast.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,8 @@ MAX_WINDOWS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-# Lower-case mates of capitals that look Latin: folding case and look-alikes together makes them equal too.
-_FOLD = {ord(a): b for a, b in PROTOTYPE.items()} | {ord(a.lower()): b.lower() for a, b in PROTOTYPE.items() if a.isupper()}
+# Case is folded first and look-alikes after, so letters whose mates of the other case look Latin are equal too.
+_FOLD = {ord(a.casefold()): b.casefold() for a, b in reversed(PROTOTYPE.items()) if len(a.casefold()) == 1}
 
 
 @lru_cache(maxsize=2)
@@ -40,9 +41,9 @@ def _canonical(path: str) -> Canonical:
 
 def fold(text: str, path: str = VOCABULARY) -> str:
     """The text in the form in which words are compared."""
-    if not text.isascii():
-        text = _canonical(path)(text).translate(_FOLD)
-    return text.casefold()
+    if text.isascii():
+        return text.casefold()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", _canonical(path)(text).casefold()).translate(_FOLD))
 
 
 def words(text: str, path: str = VOCABULARY) -> list[str]:
@@ -50,35 +51,35 @@ def words(text: str, path: str = VOCABULARY) -> list[str]:
 
 
 class Windows:
-    """The windows of a block of items: word numbers, hashes by length, and the items of each window."""
+    """The windows of a block of items as sorted arrays: for every length their hashes, word numbers and items."""
 
     def __init__(self, items: list[tuple[int, str]], n: int, path: str):
         self.number: dict[str, int] = {}
-        self.items: dict[tuple[int, ...], tuple[int, ...]] = {}
-        held: dict[tuple[int, ...], set[int]] = {}
+        held: dict[int, set[tuple[int, ...]]] = {}
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number)) for w in words(text, path)]
             size = min(n, len(ids))
             for i in range(len(ids) - size + 1 if size else 0):
-                held.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.items = {k: tuple(sorted(v)) for k, v in held.items()}
-        self.hashes = {}
-        for size in sorted({len(k) for k in self.items}):
-            own = np.array([k for k in self.items if len(k) == size], dtype=np.int64)
-            self.hashes[size] = np.unique(_hash(own.reshape(-1), size)[::size] if size > 1 else _hash(own.reshape(-1), 1))
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(position, window) of every window that is in the set; -1 stands for a word of no item."""
-        for size, hashes in self.hashes.items():
+                held.setdefault(size, set()).add((item, *ids[i : i + size]))
+        self.sizes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in sorted(held):
+            own = np.array(sorted(held.pop(size)), dtype=np.int64)
+            hashes = _hash(own[:, 1:].reshape(-1), size)[::size]
+            at = np.argsort(hashes, kind="stable")
+            self.sizes.append((size, hashes[at], own[at, 1:].astype(np.int32), own[at, 0].copy()))
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position, words, item) of every window that is in the set, word by word; -1 stands for a word of no item."""
+        for size, hashes, rows, items in self.sizes:
             if len(ids) < size:
                 continue
             h = _hash(ids, size)
-            at = np.searchsorted(hashes, h)
-            at[at == len(hashes)] = 0
-            for i in np.flatnonzero(hashes[at] == h):
-                window = tuple(ids[i : i + size].tolist())
-                if window in self.items:
-                    yield int(i), window
+            first = np.searchsorted(hashes, h)
+            first[first == len(hashes)] = 0
+            for i in np.flatnonzero(hashes[first] == h):
+                for j in range(first[i], int(np.searchsorted(hashes, h[i], "right"))):
+                    if (rows[j] == ids[i : i + size]).all():
+                        yield int(i), size, int(items[j])
 
 
 def _hash(ids: np.ndarray, size: int) -> np.ndarray:
@@ -113,10 +114,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, n: int = WINDOW, max_wind
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     spark, out = documents.sparkSession, None
     for block in _blocks(items, n, max_windows):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Windows(block, n, path))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            w = Windows(shared.value, n, path)
+            w = shared.value
             get = w.number.get
             for b in batches:
                 ids, starts = [], [0]
@@ -125,10 +126,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, n: int = WINDOW, max_wind
                     ids.append(-1)
                     starts.append(len(ids))
                 at, found = np.array(starts), {}
-                for i, window in w.hits(np.array(ids, dtype=np.int64)):
+                for i, _, item in w.hits(np.array(ids, dtype=np.int64)):
                     d = int(np.searchsorted(at, i, side="right")) - 1
-                    for item in w.items[window]:
-                        found[d, item] = found.get((d, item), 0) + 1
+                    found[d, item] = found.get((d, item), 0) + 1
                 doc = b["doc_id"].tolist()
                 yield pd.DataFrame({"doc_id": [doc[d] for d, _ in found], "item_id": [i for _, i in found], "windows": list(found.values())}).astype({"doc_id": "int64", "item_id": "int64", "windows": "int32"})
 
@@ -140,36 +140,50 @@ def find_leaks(documents: DataFrame, items: DataFrame, n: int = WINDOW, max_wind
 def remove_leaks(documents: DataFrame, items: DataFrame, n: int = WINDOW, max_windows: int = MAX_WINDOWS, path: str = VOCABULARY) -> DataFrame:
     """All rows and columns of documents with the leaked spans cut out of text, and removed_chars (0 where none leaked).
 
-    A span runs from the first character of its first word to the last one of its last word. Null texts stay null.
+    A span runs from the first character of its first word to the last one of its last word. The spans of all blocks of items
+    are found before any is cut, so the result doesn't depend on max_windows. Null texts stay null.
     """
-    out = documents.withColumn("removed_chars", F.lit(0))
-    spark = documents.sparkSession
+    spark, spans = documents.sparkSession, []
     for block in _blocks(items, n, max_windows):
-        cut = _cutter(spark.sparkContext.broadcast(block), n, path)
-        out = out.withColumn("__cut", cut("text")).withColumn("text", F.col("__cut.text")).withColumn("removed_chars", F.col("removed_chars") + F.col("__cut.removed")).drop("__cut")
-    return out
+        spans.append(_finder(spark.sparkContext.broadcast(Windows(block, n, path)), path)("text"))
+    cut = F.struct(F.col("text"), F.concat(*spans).alias("spans"))
+    return documents.withColumn("__cut", F.pandas_udf(_cut, "struct<text string, removed int>")(cut)).withColumn("text", F.col("__cut.text")).withColumn("removed_chars", F.col("__cut.removed")).drop("__cut")
 
 
-def _cutter(held, n: int, path: str):
-    @F.pandas_udf("struct<text string, removed int>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        w = Windows(held.value, n, path)
+def _finder(held, path: str):
+    @F.pandas_udf("array<int>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.DataFrame([(None, 0) if t is None else _cut(w, t, path) for t in texts], columns=["text", "removed"])
+            yield pd.Series([[] if t is None else _spans(held.value, t, path) for t in texts], dtype=object)
 
-    return cut
+    return find
 
 
-def _cut(w: Windows, text: str, path: str) -> tuple[str, int]:
+def _spans(w: Windows, text: str, path: str) -> list[int]:
+    """Begin and end of every leaked span in the text as stored, one after the other."""
     ids = np.array([w.number.get(x, -1) for x in words(text, path)], dtype=np.int64)
-    spans = [(i, i + len(k)) for i, k in w.hits(ids)] if len(ids) else []
-    if not spans:
-        return text, 0
+    found = {(i, i + size) for i, size, _ in w.hits(ids)} if len(ids) else ()
+    if not found:
+        return []
     where = _word_places(text, path)
-    gone = np.zeros(len(text), dtype=bool)
-    for a, b in spans:
-        gone[where[a][0] : where[b - 1][1]] = True
-    return "".join(c for c, g in zip(text, gone, strict=True) if not g), int(gone.sum())
+    return [c for a, b in sorted(found) for c in (where[a][0], where[b - 1][1])]
+
+
+def _cut(rows: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for text, spans in zip(rows["text"], rows["spans"], strict=True):
+        if text is None or not len(spans):
+            out.append((text, 0))
+            continue
+        kept, end = [], 0
+        for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+            if a > end:
+                kept.append(text[end:a])
+            end = max(end, b)
+        kept.append(text[end:])
+        cut = "".join(kept)
+        out.append((cut, len(text) - len(cut)))
+    return pd.DataFrame(out, columns=["text", "removed"])
 
 
 def _word_places(text: str, path: str) -> list[tuple[int, int]]:

@@ -61,7 +61,12 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", lookalike.canonical(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_accepted, p3_found, p3_articles, p4_found, p6_ids, p7_found, p7_clean, p8_found, p8_canonical)}
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    c = lookalike.classes(table(spark, sf, "documents"))
+    return c.select("doc_id", F.lower(F.hex("class_id")).alias("class_id"), F.lower(F.hex("text_id")).alias("text_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_accepted, p3_found, p3_articles, p4_found, p6_ids, p7_found, p7_clean, p8_found, p8_canonical, p8_classes)}
 
 SQL = {
     "p1_found": """
