@@ -49,7 +49,7 @@ def rules(robots: DataFrame) -> DataFrame:
 def allowed(urls: DataFrame, rule_rows: DataFrame, agent: str) -> DataFrame:
     """urls (with a column url) and allowed: the first matching rule in file order decides, of the agent's own group if it
     has one, else of '*'; no rule allows. An empty disallow allows everything."""
-    u = urls.withColumn("__a", authority(F.col("url"))).withColumn("__p", F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/")))
+    u = urls.withColumn("__a", authority(F.col("url"))).withColumn("__p", F.coalesce(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/")))
     own = F.exists("agents", lambda a: (a != "*") & (a != "") & F.contains(F.lit(agent.lower()), a))
     r = rule_rows.withColumn("__own", own).filter(F.col("__own") | F.array_contains("agents", "*"))
     best = r.groupBy("authority").agg(F.max("__own").alias("__any"))

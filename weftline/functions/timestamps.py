@@ -79,8 +79,8 @@ _BRANCHES = [
     f"(?:{_LABEL})??(?:{_WEEKDAY})??" + _g("n5", _MONTH) + r"\.?\s+" + _g("d5", r"\d{1,2}") + r"(?:st|nd|rd|th)?(?:,\s*|\s+)" + _g("y5", r"\d{4}") + r"(?:(?:\s*,\s*|\s+)(?:at\s+)?" + _clock("5") + r")?" + _zone("5"),
     # Thu May  8 16:19:44 [zone] 2025
     f"(?:{_WEEKDAY})?" + _g("n6", _MONTH) + r"\s+" + _g("d6", r"\d{1,2}") + r"\s+" + _clock("6") + _zone("6") + r"\s+" + _g("y6", r"\d{4}"),
-    # seconds, milliseconds or microseconds since 1970
-    _g("e7", r"-?\d{9,10}|-?\d{12,13}|-?\d{15,16}") + "(?:[.,]" + _g("f7", r"\d+") + ")?",
+    # seconds (below 10^11), milliseconds (below 10^14) or microseconds since 1970; four digits alone are a year, no instant
+    _g("e7", r"-?(?:\d{1,3}|\d{5,7}|\d{9,13}|\d{15,18})") + "(?:[.,]" + _g("f7", r"\d+") + ")?",
 ]
 PATTERN = r"(?iu)^\s*(?:" + "|".join(f"(?:{b})" for b in _BRANCHES) + r")\s*$"
 _SEP = "\u001f"
@@ -173,7 +173,7 @@ def with_instant(df: DataFrame, value: str, zone: str | None = None, day_first:
     local = (((days_from_civil(year, c("m"), c("d")) * 24 + hour) * 60 + c("i")) * 60 + c("s")) * micro + c("f")
     digits = F.length(F.regexp_replace(c("e"), "-", ""))
     number_e = c("e").cast("long")
-    epoch = F.when(digits <= 10, number_e * 1_000_000 + c("f")).when(digits <= 13, number_e * 1000 + F.floor(c("f") / 1000)).otherwise(number_e)
+    epoch = F.when(digits <= 11, number_e * 1_000_000 + c("f")).when(digits <= 14, number_e * 1000 + F.floor(c("f") / 1000)).otherwise(number_e)
     size = F.length(c("o"))
     sign = F.when(F.left(c("o"), F.lit(1)) == "+", 1).otherwise(-1)
     offset = F.when(size.isNotNull(), sign * (F.substring(c("o"), 2, 2).cast("long") * 60 + F.when(size > 3, F.substring(c("o"), 4, 2).cast("long")).otherwise(0)))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,29 +19,37 @@ def origin(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.lit(""))
 
 
-def resolve_common(base: Column, href: Column) -> Column:
-    """The frequent cases of a relative reference, within codegen: absolute, //host and /path. Null for all others."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(origin(base), href))
-
-
-def resolve_any(base: Column, href: Column) -> Column:
-    """RFC 3986 resolution of any reference; fragments stay, broken ones give null."""
-
-    def one(b: str | None, h: str | None) -> str | None:
-        if h is None:
-            return None
-        try:
-            return urljoin(b or "", h)
-        except ValueError:
-            return None
-
-    @F.pandas_udf("string")
-    def resolve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bases, hrefs in batches:
-            yield pd.Series([one(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
-
-    return resolve(base, href)
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments carried out, as a fold over its segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    ends = F.element_at(parts, -1).isin(".", "..")
+    joined = F.concat(F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))
+    return F.when(F.contains(path, F.lit("/.")) | path.startswith("."), F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))).otherwise(path)
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """RFC 3986 resolution of a reference against an absolute http address, within the JVM; fragments stay.
+
+    Line ends and tabs within a reference and blanks around it go. An address with a scheme stays as it is. Null for null; a relative reference without an absolute base stays relative.
+    """
+    href = F.trim(F.regexp_replace(href, r"[\t\r\n]", ""))
+    scheme = F.coalesce(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.lit(""))
+    root = F.coalesce(origin(base), F.lit(""))
+    base_path = F.regexp_replace(F.regexp_replace(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+    path, rest = F.regexp_replace(href, r"[?#].*$", ""), F.regexp_extract(href, r"^[^?#]*([?#].*)$", 1)
+    folder = F.regexp_replace(base_path, r"[^/]*$", "")
+    merged = F.concat(F.when(folder == "", "/").otherwise(folder), path)
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(root == "", href)
+        .when(href == "", base)
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(path == "", F.concat(root, base_path, rest))
+        .when(path.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .otherwise(F.concat(root, _without_dots(merged), rest))
+    )
 
 
 def is_web_link(href: Column, resolved: Column) -> Column:

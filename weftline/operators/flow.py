@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.urls import authority, is_excluded, is_web_link, link_score, resolve_common
+from weftline.functions.urls import authority, is_excluded, is_web_link, link_score, resolve
 
+# What pages say that refuse a visitor.
 BLOCK_WORDS = "captcha|are you a robot|access denied|verify you are human|to continue please|too many requests"
-HREF = r'<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
+#: The address of an anchor, in double or single quotes or in none.
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 # -- filters -----------------------------------------------------------------------------------------------------------
@@ -40,6 +42,11 @@ def is_page_type(content_type: Column) -> Column:
     return F.coalesce(F.lower(F.trim(F.split(content_type, ";")[0])).isin("text/html", "text/plain", "application/xhtml+xml"), F.lit(False))
 
 
+def needs_analysis(pending: Column, selectors: Column) -> Column:
+    """Whether a source's structure has yet to be analysed: it is marked so, or has no selectors and no mark."""
+    return F.coalesce(pending, selectors.isNull() | (F.size(selectors) == 0))
+
+
 def needs_crawl(rss_feed: Column) -> Column:
     return F.coalesce(F.trim(rss_feed), F.lit("")) == ""
 
@@ -100,7 +107,7 @@ def with_source(items: DataFrame, sources: DataFrame, limit: int = 100_000) -> D
 def migrate_sources(sources: DataFrame) -> DataFrame:
     """The current form of the configuration: the legacy parser key moves, missing flags take their defaults."""
     name = F.coalesce("parser_config_name", "parser_config")
-    pending = F.coalesce("llm_analysis_pending", F.col("extraction_selectors").isNull() | (F.size("extraction_selectors") == 0))
+    pending = needs_analysis(F.col("llm_analysis_pending"), F.col("extraction_selectors"))
     return sources.withColumn("parser_config_name", name).withColumn("llm_analysis_pending", pending).drop("parser_config")
 
 
@@ -140,10 +147,23 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, url: the distinct absolute links of each page that no pattern excludes."""
-    p = pages.filter("html is not null").select("page_id", F.col("url").alias("base"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)))).alias("href"))
-    p = p.withColumn("url", resolve_common(F.col("base"), F.trim("href")))
-    return p.filter(is_web_link(F.col("href"), F.col("url")) & ~is_excluded(F.col("url"))).select("page_id", "url").distinct()
+    """page_id, url: the distinct absolute links of each page that no pattern excludes, worked out within the row.
+
+    Anchors may quote their address either way or not at all; references of any kind are resolved against the page's address. A
+    page row that is given twice gives its links twice.
+    """
+    found = F.regexp_extract_all("html", F.lit(HREF), F.lit(1))
+    bare = F.transform(found, lambda h: F.replace(F.regexp_replace(h, r"^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&")))
+    screened = F.transform(F.array_distinct(bare), lambda h: F.struct(h.alias("href"), resolve(F.col("base"), F.trim(h)).alias("url")))
+    kept = F.filter(screened, lambda x: is_web_link(x["href"], x["url"]) & ~is_excluded(x["url"]))
+    p = pages.filter("html is not null").select("page_id", "html", F.col("url").alias("base"))
+    return p.select("page_id", F.explode(F.array_distinct(F.transform(kept, lambda x: x["url"]))).alias("url"))
+
+
+def first_links(links: DataFrame, n: int = 10) -> DataFrame:
+    """The first n links of each page in the order of their addresses, for want of a score."""
+    w = Window.partitionBy("page_id").orderBy("url")
+    return links.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def top_links(links: DataFrame, n: int = 10, threshold: float | None = None) -> DataFrame:
@@ -162,6 +182,11 @@ def log_entry(ts: Column, kind: Column, message: Column, details: Column) -> Col
     return F.struct(ts.alias("ts"), F.upper(kind).alias("type"), message.alias("message"), details.alias("details"))
 
 
+def encode(value: Column) -> Column:
+    """JSON of a struct, map or array, null fields kept."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
 def failure(component: Column, message: Column, url: Column, details: Column) -> Column:
     """Message and details of an error entry; component and url go into the details."""
     return F.struct(F.lit("ERROR").alias("type"), message.alias("message"), F.map_concat(F.coalesce(details, F.create_map().cast("map<string,string>")), F.map_from_arrays(F.array(F.lit("component"), F.lit("url")), F.array(component, url))).alias("details"))

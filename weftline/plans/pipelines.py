@@ -14,11 +14,11 @@ from weftline.operators import markdown as md
 
 def discover_feeds(sources: DataFrame, homes: DataFrame) -> DataFrame:
     """Sources with rss_feed filled from their home page (url, html) where it was missing; the first link counts."""
-    h = homes.select(F.col("url").alias("base_url"), F.try_element_at(extract.feed_links(F.col("html")), F.lit(1)).alias("__f")).groupBy("base_url").agg(F.min("__f").alias("__f"))
+    h = homes.select(F.col("url").alias("base_url"), F.try_element_at(extract.feed_links(F.col("html"), F.col("url")), F.lit(1)).alias("__f")).groupBy("base_url").agg(F.min("__f").alias("__f"))
     return sources.join(h, "base_url", "left").withColumn("rss_feed", F.when(flow.needs_crawl(F.col("rss_feed")), F.col("__f")).otherwise(F.col("rss_feed"))).drop("__f")
 
 
-def _selectors(sources: DataFrame, limit: int = 100_000) -> DataFrame:
+def selectors(sources: DataFrame, limit: int = 100_000) -> DataFrame:
     """source_name, selectors of every source that has any (the least by their entries, if it is given twice)."""
     entries = F.array_sort(F.map_entries("extraction_selectors"))
     one = sources.filter("name is not null and size(extraction_selectors) > 0").groupBy(F.col("name").alias("source_name")).agg(F.map_from_entries(F.min(entries)).alias("selectors"))
@@ -29,7 +29,7 @@ def process_queue(items: DataFrame, sources: DataFrame, pages: DataFrame) -> Dat
     """Queue items joined with their source and page, their articles extracted with the selectors of the item's source and
     kept if sufficient; the article's fields win. A page is read once for each source that queued it."""
     q = flow.with_source(items, sources)
-    asked = items.select("link", "source_name").distinct().join(_selectors(sources), "source_name", "left")
+    asked = items.select("link", "source_name").distinct().join(selectors(sources), "source_name", "left")
     p = pages.select("page_id", F.col("url").alias("link"), "html").join(asked, "link").withColumn("page_id", F.struct("page_id", "link", "source_name"))
     a = extract.cascade(p, "selectors").select("page_id.link", F.col("page_id.source_name").alias("__source"), "article")
     a = a.groupBy("link", "__source").agg(F.min("article").alias("article")).withColumnRenamed("link", "__link")
@@ -44,7 +44,7 @@ def seed_pages(seeds: DataFrame, pages: DataFrame, robots: DataFrame, sources: D
     start = rb.allowed(seeds, rules, agent).filter("allowed").select("url")
     links = flow.top_links(rb.allowed(flow.page_links(pages.join(start, "url", "left_semi")), rules, agent).filter("allowed").drop("allowed"), n, threshold)
     hit = pages.join(links.select("url").distinct(), "url", "left_semi")
-    a = extract.cascade(hit.join(_selectors(sources), "source_name", "left"), "selectors")
+    a = extract.cascade(hit.join(selectors(sources), "source_name", "left"), "selectors")
     return a.filter(flow.sufficient(F.col("article.title"), F.col("article.text")))
 
 

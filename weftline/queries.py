@@ -50,12 +50,27 @@ _AUTH = "nullif(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1),
 _DEPTH = "len(list_filter(string_split(regexp_replace(regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda p: p <> ''))"
 _WORDS = "(" + " + ".join(f"CAST(contains(lower({{0}}), '{k}') AS INT)" for k in ur.LINK_KEYWORDS) + ")"
 _SCORE = f"round((0.6::DOUBLE * ({_WORDS} / 32.0::DOUBLE) + 0.4::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + abs({_DEPTH} - 3)))) / 2.0::DOUBLE, 9)"
-_LINKS = rf"""
-    WITH h AS (SELECT DISTINCT page_id, url AS base, unnest(regexp_extract_all(html, '{flow.HREF}', 1)) AS href FROM fetch_results WHERE html IS NOT NULL),
-    r AS (SELECT page_id, href, CASE WHEN regexp_matches(trim(href), '^[A-Za-z][A-Za-z0-9+.-]*://') THEN trim(href)
-          WHEN trim(href) LIKE '//%' THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || trim(href)
-          WHEN trim(href) LIKE '/%' THEN nullif(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), '') || trim(href) END AS url FROM h),
-    l AS (SELECT DISTINCT page_id, url FROM r WHERE NOT regexp_matches(href, '^(javascript:|mailto:|#)') AND {_AUTH.format('url')} IS NOT NULL AND NOT regexp_matches(url, '{ur.EXCLUDED}'))
+
+def _resolved(base: str, href: str) -> str:
+    """SQL of a resolved reference, by a list fold of its own."""
+    href = f"trim(translate({href}, chr(9) || chr(10) || chr(13), ''))"
+    root, rest = f"coalesce(regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*'), '')", f"substr({href}, length(regexp_extract({href}, '^[^?#]*')) + 1)"
+    path, own = f"regexp_extract({href}, '^[^?#]*')", f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    full = f"CASE WHEN {path} LIKE '/%' THEN {path} WHEN contains({own}, '/') THEN regexp_extract({own}, '^.*/') || {path} ELSE '/' || {path} END"
+    walked = f"list_reduce(string_split({full}, '/'), lambda a, x: CASE x WHEN '..' THEN regexp_replace(a, '/?[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || x END) || CASE WHEN string_split({full}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END"
+    return f"""CASE WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} WHEN {href} LIKE '//%' THEN coalesce(regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1), '') || {href}
+        WHEN {root} = '' THEN {href} WHEN {href} = '' THEN {base} WHEN {href} LIKE '#%' THEN regexp_replace({base}, '#.*$', '') || {href}
+        WHEN {path} = '' THEN {root} || {own} || {rest} ELSE {root} || {walked} || {rest} END"""
+
+
+_UNWANTED = [f"/{w}" for w in "login signin register signup search privacy terms contact about".split()] + [f"/{w}/" for w in "tag user profile account wp-json".split()] + ["/?replytocom=", "archive.org/web/"]
+_ENDINGS = ["/feed/", "/comments/feed/"] + [f".{x}" for x in "pdf zip jpg jpeg png gif css js".split()]
+_GIVEN = """replace(trim(regexp_extract(tag, '(?i)[[:space:]]href[[:space:]]*=[[:space:]]*("[^"]*"|''[^'']*''|[^[:space:]"''>]+)', 1), '"'''), '&amp;', '&')"""
+_LINKS = f"""
+    WITH t AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(?i)<a[[:space:]][^>]*>')) AS tag FROM fetch_results WHERE html IS NOT NULL),
+    h AS (SELECT DISTINCT page_id, base, {_GIVEN} AS href FROM t WHERE regexp_matches(tag, '(?i)[[:space:]]href[[:space:]]*=[[:space:]]*[^[:space:]>]')),
+    r AS (SELECT page_id, href, {_resolved('base', 'trim(href)')} AS url FROM h WHERE href NOT LIKE 'javascript:%' AND href NOT LIKE 'mailto:%' AND href NOT LIKE '#%'),
+    l AS (SELECT DISTINCT page_id, url FROM r WHERE {_AUTH.format('url')} IS NOT NULL AND NOT ({' OR '.join(f"contains(url, '{x}')" for x in _UNWANTED)} OR {' OR '.join(f"url LIKE '%{x}'" for x in _ENDINGS)}))
 """
 
 
@@ -84,9 +99,14 @@ def url_score(s: SparkSession, sf: str) -> DataFrame:
     return T(s, sf, "feed_items").filter("link is not null").select("item_no", ur.link_score(F.col("link")).alias("score"))
 
 
-@query()
+@query(f"SELECT item_no, {_resolved('source_feed_url', 'link')} AS url FROM feed_items")
 def url_resolve(s: SparkSession, sf: str) -> DataFrame:
-    return T(s, sf, "feed_items").select("item_no", ur.resolve_any(F.col("source_feed_url"), F.col("link")).alias("url"))
+    return T(s, sf, "feed_items").select("item_no", ur.resolve(F.col("source_feed_url"), F.col("link")).alias("url"))
+
+
+@query(_LINKS + "SELECT page_id, url, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY url) AS INT) AS rank FROM l) WHERE rank <= 10")
+def page_links_first(s: SparkSession, sf: str) -> DataFrame:
+    return flow.first_links(flow.page_links(T(s, sf, "fetch_results")))
 
 
 @query("SELECT DISTINCT source_sitemap_url, 'Sitemap: ' || string_split(regexp_replace(regexp_replace(source_sitemap_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '/')[-1] AS title FROM sitemap_entries WHERE source_sitemap_url IS NOT NULL")
@@ -221,76 +241,80 @@ def failure_records(s: SparkSession, sf: str) -> DataFrame:
 # -- registry and policy -----------------------------------------------------------------------------------------------------
 
 
-@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY last_checked DESC NULLS LAST) AS r FROM domain_registry WHERE domain IS NOT NULL)
-    SELECT domain, max(last_checked) AS last_checked FROM d GROUP BY domain""")
-def registry_last_wins(s: SparkSession, sf: str) -> DataFrame:
-    r = T(s, sf, "domain_registry").select("domain", "last_checked", "permission")
-    return flow.last_wins(r, "domain", "last_checked").select("domain", "last_checked")
+_ROW = ["last_checked", "permission", "contact", "license_info", "etag", "last_modified"]
 
 
-_POLICY = """(VALUES ('a.example', 'User-agent: *
-Disallow: /x', NULL, NULL, NULL), ('b.example', 'Disallow: /', NULL, '<a href="/terms">', 'Creative Commons'), ('c.example', NULL, NULL, '<a href="/tos">', 'no scraping'),
-    ('d.example', '', NULL, 'our api', NULL), ('e.example', NULL, '<loc>https://e.example/f</loc>', 'home', 'fine')) AS t(domain, robots, sitemap, home, tos)"""
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _ROW)}) AS r FROM domain_registry WHERE domain IS NOT NULL)
+    SELECT domain, {', '.join(_ROW)} FROM d WHERE r = 1""")
+def registry_last_wins(s: SparkSession, sf: str) -> DataFrame:
+    return flow.last_wins(T(s, sf, "domain_registry").select("domain", *_ROW), "domain", "last_checked").select("domain", *_ROW)
 
 
-@query(f"""SELECT domain, CASE WHEN s = 'yellow' AND coalesce(regexp_matches(home, '(?i)api'), false) THEN 'green' ELSE s END AS permission FROM (SELECT domain, home,
-    CASE WHEN regexp_matches(tos, '(?i)creative\\s+commons') THEN 'green' WHEN regexp_matches(tos, '(?i)scrap|no scraping') THEN 'red' WHEN regexp_matches(robots, '(?i)disallow:\\s*/') THEN 'red' ELSE 'yellow' END AS s FROM {_POLICY})""")
+@query(r"""SELECT domain, CASE WHEN regexp_matches(tos, '(?i)creative\s+commons') THEN 'green' WHEN contains(lower(tos), 'scrap') THEN 'red' WHEN length(domain) % 3 = 0 THEN 'red'
+    WHEN coalesce(lower(prior), 'yellow') = 'yellow' AND coalesce(contains(lower(home), 'api'), false) THEN 'green' ELSE coalesce(lower(prior), 'yellow') END AS permission
+    FROM (SELECT DISTINCT domain, license_info AS tos, contact AS home, permission AS prior FROM domain_registry WHERE domain IS NOT NULL)""")
 def policy_class(s: SparkSession, sf: str) -> DataFrame:
-    return pl.scan_policies(s.sql(f"SELECT *, CAST(NULL AS STRING) AS prior FROM {_POLICY}")).select("domain", "permission")
+    d = T(s, sf, "domain_registry").filter("domain is not null").select("domain", F.col("license_info").alias("tos"), F.col("contact").alias("home"), F.col("permission").alias("prior")).distinct()
+    d = d.withColumn("robots", F.when(F.length("domain") % 3 == 0, "User-agent: *\nDisallow: /x")).withColumn("sitemap", F.lit(None).cast("string"))
+    return pl.scan_policies(d).select("domain", "permission")
+
 
+def _robots(s: SparkSession, sf: str) -> DataFrame:
+    """authority, body: a robots.txt for every authority of the feed items, of three kinds by the length of its name."""
+    a = T(s, sf, "feed_items").select(ur.authority(F.col("link")).alias("authority")).filter("authority is not null").distinct()
+    site = F.concat(F.lit("\nSitemap: https://"), F.col("authority"), F.lit("/map.xml\nsitemap: https://"), F.col("authority"), F.lit("/news.xml\n"))
+    own = F.lit("User-agent: TestBot\nCrawl-delay: 5\nDisallow: /2024/ # old\nAllow: /\n\nUser-agent: *\nCrawl-delay: 1\nDisallow: /\n")
+    every = F.concat(F.lit("User-agent: *\nAllow: /2025/0\nDisallow: /2025/\nCrawl-delay: x\nCrawl-delay: 2.5"), site)
+    k = F.length("authority") % 3
+    return a.select("authority", F.when(k == 0, own).when(k == 1, every).otherwise("# nothing\nUser-agent: other\nDisallow: /").alias("body"))
 
-_ROBOTS = """(VALUES ('example.com', 'User-agent: TestBot
-Crawl-delay: 5
-Disallow: /private
-Allow: /
 
-User-agent: *
-Crawl-delay: 1
-Disallow: /tmp
-Sitemap: http://example.com/sitemap.xml
-sitemap: http://example.com/news.xml')) AS r(authority, body)"""
-_TRY = """(VALUES (1, 'http://example.com/private/a'), (2, 'http://example.com/tmp/a'), (3, 'http://example.com/x'), (4, 'http://other.com/private')) AS u(n, url)"""
+_KIND = f"length({_AUTH.format('link')}) % 3"
+_PATH = "regexp_replace(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '')"
 
 
-@query("SELECT * FROM (VALUES (1, 'http://example.com/private/a', false), (2, 'http://example.com/tmp/a', true), (3, 'http://example.com/x', true), (4, 'http://other.com/private', true)) AS t(n, url, allowed)")
+@query(f"SELECT item_no, coalesce(CASE {_KIND} WHEN 0 THEN NOT ({_PATH} LIKE '/2024/%') WHEN 1 THEN {_PATH} LIKE '/2025/0%' OR NOT {_PATH} LIKE '/2025/%' END, true) AS allowed FROM feed_items WHERE link IS NOT NULL")
 def robots_allow(s: SparkSession, sf: str) -> DataFrame:
-    return rb.allowed(s.sql(f"SELECT * FROM {_TRY}"), rb.rules(s.sql(f"SELECT * FROM {_ROBOTS}")), "TestBot")
+    u = T(s, sf, "feed_items").filter("link is not null").select("item_no", F.col("link").alias("url"))
+    return rb.allowed(u, rb.rules(_robots(s, sf)), "TestBot").select("item_no", "allowed")
 
 
-@query("SELECT 'example.com' AS authority, 5.0::DOUBLE AS own, 1.0::DOUBLE AS other")
+@query(f"SELECT DISTINCT {_AUTH.format('link')} AS authority, CASE {_KIND} WHEN 0 THEN 5.0::DOUBLE ELSE 2.5::DOUBLE END AS own, CASE {_KIND} WHEN 0 THEN 1.0::DOUBLE ELSE 2.5::DOUBLE END AS other FROM feed_items WHERE {_KIND} < 2")
 def robots_delay(s: SparkSession, sf: str) -> DataFrame:
-    r = s.sql(f"SELECT * FROM {_ROBOTS}")
+    r = _robots(s, sf)
     own, other = rb.crawl_delays(r, "TestBot").withColumnRenamed("delay", "own"), rb.crawl_delays(r, "none").withColumnRenamed("delay", "other")
     return own.join(other, "authority")
 
 
-@query("SELECT unnest(['http://example.com/sitemap.xml', 'http://example.com/news.xml']) AS sitemap")
+@query(f"SELECT DISTINCT 'https://' || {_AUTH.format('link')} || f AS sitemap FROM feed_items, (VALUES ('/map.xml'), ('/news.xml')) AS t(f) WHERE {_KIND} = 1")
 def robots_sitemaps(s: SparkSession, sf: str) -> DataFrame:
-    return s.sql(f"SELECT * FROM {_ROBOTS}").select(F.explode(rb.sitemap_lines(F.col("body"))).alias("sitemap"))
+    return _robots(s, sf).select(F.explode(rb.sitemap_lines(F.col("body"))).alias("sitemap")).distinct()
 
 
-@query("SELECT name, nullif(regexp_extract(base_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') AS authority, 1.0::DOUBLE AS delay FROM sources")
+@query("SELECT s.name, s.a AS authority, coalesce(d.delay, 1.0::DOUBLE) AS delay FROM (SELECT name, nullif(regexp_extract(base_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') AS a FROM sources) s LEFT JOIN (SELECT DISTINCT nullif(regexp_extract(base_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') AS a, (length(base_url) % 7)::DOUBLE AS delay FROM sources WHERE length(base_url) % 2 = 0) d ON d.a = s.a")
 def prime_domains(s: SparkSession, sf: str) -> DataFrame:
-    return pl.prime_domains(T(s, sf, "sources"), rb.crawl_delays(s.sql(f"SELECT * FROM {_ROBOTS}")))
+    own = T(s, sf, "sources").select(ur.authority(F.col("base_url")).alias("authority"), F.length("base_url").alias("n")).filter("authority is not null and n % 2 = 0").distinct()
+    robots = own.select("authority", F.concat(F.lit("User-agent: *\nCrawl-delay: "), (F.col("n") % 7).cast("string")).alias("body"))
+    return pl.prime_domains(T(s, sf, "sources"), rb.crawl_delays(robots))
 
 
 # -- feeds and sitemaps --------------------------------------------------------------------------------------------------------
 
-_RSS = """(VALUES ('http://example.com/rss', '<rss version="2.0"><channel><item><title>One</title><link>http://example.com/1</link><guid>item1</guid><pubDate>Mon, 01 Jan 2024 12:00:00 GMT</pubDate></item>
-<item><title>Two</title><link>http://example.com/2</link><guid>item2</guid><pubDate>Tue, 02 Jan 2024 13:00:00 +0000</pubDate></item><item><title>None</title></item></channel></rss>')) AS f(feed_url, xml)"""
-_MAPS = """(VALUES ('http://example.com/sitemap.xml', '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>http://example.com/sitemap1.xml</loc></sitemap><sitemap><loc>http://example.com/sitemap.xml</loc></sitemap></sitemapindex>'),
-    ('http://example.com/sitemap1.xml', '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>http://example.com/page1</loc><lastmod>2024-01-01T12:00:00Z</lastmod></url><url><loc> </loc></url></urlset>')) AS m(sitemap_url, xml)"""
 
-
-@query("SELECT * FROM (VALUES ('item1', 'http://example.com/1', 'One', 1704110400000000::BIGINT), ('item2', 'http://example.com/2', 'Two', 1704200400000000::BIGINT)) AS t(id, link, title, published_utc)")
+@query("SELECT CAST(item_no AS VARCHAR) AS feed_url, coalesce(nullif(trim(id), ''), trim(link)) AS id, trim(link) AS link, nullif(trim(title), '') AS title FROM feed_items WHERE trim(link) <> ''")
 def rss_items(s: SparkSession, sf: str) -> DataFrame:
-    return rd.feed_items(s.sql(f"SELECT * FROM {_RSS}")).select("id", "link", "title", "published_utc")
+    tag = lambda n, v: F.coalesce(F.concat(F.lit(f"<{n}><![CDATA["), v, F.lit(f"]]></{n}>\n")), F.lit(""))
+    xml = F.concat(F.lit("<rss version='2.0'><channel><item>"), tag("title", F.col("title")), tag("link", F.col("link")), tag("guid", F.col("id")), F.lit("</item><item><title>no link</title></item></channel></rss>"))
+    return rd.feed_items(T(s, sf, "feed_items").select(F.col("item_no").cast("string").alias("feed_url"), xml.alias("xml"))).select("feed_url", "id", "link", "title")
 
 
-@query("SELECT 'http://example.com/sitemap.xml' AS root, 'http://example.com/page1' AS loc, '2024-01-01T12:00:00Z' AS lastmod")
+@query("SELECT DISTINCT 'index-' || entry_id AS root, trim(loc) AS loc, nullif(trim(lastmod_utc), '') AS lastmod FROM sitemap_entries WHERE trim(loc) <> ''")
 def sitemap_urls(s: SparkSession, sf: str) -> DataFrame:
-    m = s.sql(f"SELECT * FROM {_MAPS}")
-    return rd.sitemap_closure(m.filter("sitemap_url like '%sitemap.xml'").select("sitemap_url"), m)
+    e = T(s, sf, "sitemap_entries").select(F.col("entry_id").cast("string").alias("n"), "loc", "lastmod_utc")
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = e.select(F.concat(F.lit("index-"), "n").alias("sitemap_url"), F.concat(F.lit(f"<sitemapindex {ns}><sitemap><loc>map-"), "n", F.lit("</loc></sitemap><sitemap><loc>index-"), "n", F.lit("</loc></sitemap></sitemapindex>")).alias("xml"))
+    own = e.select(F.concat(F.lit("map-"), "n").alias("sitemap_url"), F.concat(F.lit(f"<urlset {ns}><url><loc>"), F.coalesce("loc", F.lit("")), F.lit("</loc><lastmod>"), F.coalesce("lastmod_utc", F.lit("")), F.lit("</lastmod></url></urlset>")).alias("xml"))
+    return rd.sitemap_closure(index.select("sitemap_url"), index.unionByName(own).distinct())
 
 
 # -- Markdown --------------------------------------------------------------------------------------------------------------------
@@ -337,11 +361,11 @@ def md_split_level(s: SparkSession, sf: str) -> DataFrame:
     return md.split_level(md.headings(_md(s, sf)), deepest=3)
 
 
-@query(f"WITH {_HEADS}, f AS (SELECT s.section_id, min(h.line_no) AS l FROM md_sections s JOIN h ON h.doc_id = s.section_id AND h.heading_text = s.own_heading GROUP BY s.section_id) SELECT s.section_id AS doc_id, coalesce(h.section_number, '1') AS section_number FROM md_sections s LEFT JOIN f ON f.section_id = s.section_id LEFT JOIN h ON h.doc_id = s.section_id AND h.line_no = f.l WHERE NOT regexp_matches(coalesce(s.own_heading, ''), '(^|\\.)[0-9]+(\\.|$)')")
+@query(f"WITH {_HEADS}, f AS (SELECT s.section_id, min(h.line_no) AS l FROM md_sections s JOIN h ON h.doc_id = s.section_id AND h.heading_text = s.own_heading GROUP BY s.section_id), t AS (SELECT section_id, list_filter(string_split(coalesce(own_heading, ''), '.'), lambda x: regexp_full_match(x, '[0-9]+')) AS ns FROM md_sections) SELECT s.section_id AS doc_id, coalesce(h.section_number, CASE WHEN len(ns) = 0 THEN '1' ELSE array_to_string(list_append(list_transform(ns[:-2], lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), CAST(CAST(ns[-1] AS BIGINT) + 1 AS VARCHAR)), '.') END) AS section_number FROM md_sections s JOIN t ON t.section_id = s.section_id LEFT JOIN f ON f.section_id = s.section_id LEFT JOIN h ON h.doc_id = s.section_id AND h.line_no = f.l")
 def md_section_numbers(s: SparkSession, sf: str) -> DataFrame:
     d = T(s, sf, "md_sections").select(F.col("section_id").alias("doc_id"), "own_heading", F.lit(2147483647).alias("start_line"), "text")
     out = md.section_numbers(d.select("doc_id", "own_heading", "start_line"), md.headings(d))
-    return out.filter(~F.coalesce("own_heading", F.lit("")).rlike(r"(^|\.)[0-9]+(\.|$)")).select("doc_id", "section_number")
+    return out.select("doc_id", "section_number")
 
 
 @query(r"SELECT section_id, trim(regexp_replace(lower(own_heading), '[^a-z0-9]+', '_', 'g'), '_') AS slug, 'memory_' || topic || '_sec1_L' || start_line AS id FROM md_sections")
@@ -420,11 +444,10 @@ def pack_greedy(s: SparkSession, sf: str) -> DataFrame:
     return md.pack(f.withColumn("prefix", tx.section_prefix(F.col("name"))), "file_path", "name", "prefix", "n")
 
 
-@query(r"SELECT section_id, regexp_matches(t, p) AS has_head, CASE WHEN regexp_matches(t, p) THEN regexp_extract(t, p, 2) ELSE t END = text_after AS same FROM (SELECT section_id, '---' || chr(10) || 'id: ' || section_id || chr(10) || '---' || chr(10) || 'body ' || section_id AS t, 'body ' || section_id AS text_after, '(?s)^---[ \t]*\n(.*?)(?:^|\n)---[ \t]*(?:\n(.*))?$' AS p FROM md_sections)")
+@query("SELECT section_id, 'id: ' || section_id AS head, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS body_md5 FROM md_sections WHERE text IS NOT NULL")
 def front_matter(s: SparkSession, sf: str) -> DataFrame:
-    n = F.col("section_id").cast("string")
-    d = T(s, sf, "md_sections").select("section_id", F.concat(F.lit("---\nid: "), n, F.lit("\n---\nbody "), n).alias("t"), F.concat(F.lit("body "), n).alias("want")).withColumn("f", rd.front_matter(F.col("t")))
-    return d.select("section_id", F.col("f.head").isNotNull().alias("has_head"), (F.col("f.body") == F.col("want")).alias("same"))
+    t = F.concat(F.lit("---\nid: "), F.col("section_id").cast("string"), F.lit("\n---\n"), F.col("text"))
+    return T(s, sf, "md_sections").filter("text is not null").select("section_id", rd.front_matter(t).alias("f")).select("section_id", F.col("f.head").alias("head"), F.md5("f.body").alias("body_md5"))
 
 
 # -- extraction ------------------------------------------------------------------------------------------------------------------
@@ -435,16 +458,23 @@ def page_titles(s: SparkSession, sf: str) -> DataFrame:
     return T(s, sf, "fetch_results").filter("html is not null").select("page_id", extract.page_title(F.col("html")).alias("title"))
 
 
-@query(r"""WITH c AS (SELECT page_id, flatten(list_transform(regexp_extract_all(html, '(?i)<div\b[^>]*\bclass\s*=\s*["'']?([^"''>]+)', 1), lambda v: regexp_split_to_array(trim(v), '\s+'))) AS cs FROM fetch_results WHERE html IS NOT NULL),
-    u AS (SELECT page_id, unnest(cs) AS css_class, unnest(range(len(cs))) AS pos FROM c), g AS (SELECT page_id, css_class, count(*) AS n, min(pos) AS f FROM u WHERE css_class <> '' GROUP BY 1, 2 HAVING count(*) >= 2)
+_MAIN = r"CASE WHEN regexp_matches(html, '(?i)<main[ >]') THEN string_split_regex(string_split_regex(html, '(?i)<main[^>]*>')[2], '(?i)</main\s*>')[1] END"
+
+
+@query(rf"""WITH d AS (SELECT page_id, unnest(regexp_extract_all({_MAIN}, '(?i)<div\s[^>]*>')) AS tag FROM fetch_results), k AS (SELECT page_id, row_number() OVER () AS o, string_split_regex(trim(trim(regexp_extract(tag, '(?i)\sclass\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1), '"''')), '\s+') AS cs FROM d),
+    u AS (SELECT page_id, o, unnest(cs) AS css_class, unnest(range(len(cs))) AS i FROM k), g AS (SELECT page_id, css_class, count(*) AS n, min(o * 1000 + i) AS f FROM u WHERE css_class <> '' GROUP BY ALL HAVING count(*) >= 2)
     SELECT page_id, css_class, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, f) AS r FROM g) WHERE r = 1""")
 def recurrent_class(s: SparkSession, sf: str) -> DataFrame:
-    return extract.recurrent_class(T(s, sf, "fetch_results"))
+    return extract.recurrent_class(T(s, sf, "fetch_results")).select("page_id", "css_class", "n")
+
+
+@query()
+def recurrent_sample(s: SparkSession, sf: str) -> DataFrame:
+    return extract.recurrent_class(T(s, sf, "fetch_results")).select("page_id", "sample")
 
 
 def _with_selectors(s: SparkSession, sf: str) -> DataFrame:
-    one = T(s, sf, "sources").groupBy(F.col("name").alias("source_name")).agg(F.first("extraction_selectors", ignorenulls=True).alias("selectors"))
-    return T(s, sf, "fetch_results").join(F.broadcast(one), "source_name", "left")
+    return T(s, sf, "fetch_results").join(pl.selectors(T(s, sf, "sources")), "source_name", "left")
 
 
 @query()
@@ -457,15 +487,19 @@ def selector_articles(s: SparkSession, sf: str) -> DataFrame:
     return _with_selectors(s, sf).select("page_id", extract.by_selectors(F.col("html"), F.col("selectors")).alias("a")).select("page_id", "a.*").filter("method is not null")
 
 
-@query("SELECT item_no, array_to_string(list_filter(list_transform(string_split(title, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS authors FROM feed_items WHERE title IS NOT NULL AND title NOT LIKE '[%' AND title NOT LIKE '{%'")
+@query(r"""SELECT item_no, array_to_string(list_filter(list_transform(CASE item_no % 3 WHEN 0 THEN string_split(title, ',') ELSE [replace(title, '"', '')] END, lambda x: trim(x)), lambda x: x <> ''), '|') AS authors FROM feed_items WHERE title IS NOT NULL AND NOT regexp_matches(title, '^\s*[\[{]')""")
 def author_names(s: SparkSession, sf: str) -> DataFrame:
-    f = T(s, sf, "feed_items").filter("title is not null and title not like '[%' and title not like '{%'")
-    return f.select("item_no", F.array_join(extract.authors(F.col("title")), "|").alias("authors"))
+    """Names as a text, as a JSON object and as a JSON list; titles stand in for names, so those that look like JSON are left out."""
+    f = T(s, sf, "feed_items").filter(F.col("title").isNotNull() & ~F.col("title").rlike(r"^\s*[\[{]"))
+    bare = F.replace("title", F.lit('"'), F.lit(""))
+    said = F.when(F.col("item_no") % 3 == 0, F.col("title")).when(F.col("item_no") % 3 == 1, F.concat(F.lit('{"@type": "Person", "name": "'), bare, F.lit('"}'))).otherwise(F.concat(F.lit('["'), bare, F.lit('"]')))
+    return f.select("item_no", F.array_join(extract.authors(said), "|").alias("authors"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?is)<link\\b[^>]*application/rss\\+xml[^>]*>'))::INT AS feeds FROM fetch_results WHERE html IS NOT NULL")
+@query(f"""WITH t AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<link[[:space:]][^>]*>')) AS tag FROM fetch_results), l AS (SELECT page_id, url, {_GIVEN} AS href FROM t
+    WHERE contains(lower(tag), 'application/rss+xml') AND regexp_matches(lower(tag), 'rel="?''?[^"''>]*alternate')) SELECT DISTINCT page_id, {_resolved('url', 'href')} AS feed FROM l WHERE href <> ''""")
 def page_feed_links(s: SparkSession, sf: str) -> DataFrame:
-    return T(s, sf, "fetch_results").filter("html is not null").select("page_id", F.size(extract.feed_links(F.col("html"))).alias("feeds"))
+    return T(s, sf, "fetch_results").select("page_id", F.explode(extract.feed_links(F.col("html"), F.col("url"))).alias("feed"))
 
 
 @query()

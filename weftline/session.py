@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,12 +34,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The folder named in spark.checkpoint.dir is used as it is; only where none is set (tests, laptops) a temporary one
-    is made and set.
+    The folder named in spark.checkpoint.dir is used as it is; only where none is set on a local master (tests, laptops) a
+    temporary one is made and set. A cluster without one is refused, as its machines don't share their temporary folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = held or tempfile.mkdtemp(prefix="weftline-")
         if not held:
             spark.sparkContext.setCheckpointDir(root)

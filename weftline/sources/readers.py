@@ -80,14 +80,15 @@ def sitemaps(maps: DataFrame) -> DataFrame:
     return m.filter("kind = 'urlset' or size(sitemap_urls) > 0")
 
 
-def sitemap_closure(roots: DataFrame, maps: DataFrame, most: int = 20) -> DataFrame:
-    """root, loc, lastmod of everything the sitemaps below the roots list; every sitemap is opened once per root."""
+def sitemap_closure(roots: DataFrame, maps: DataFrame) -> DataFrame:
+    """root, loc, lastmod of everything the sitemaps below the roots list, however deep; every sitemap is opened once per root,
+    so circles end."""
     from weftline.session import through_table
 
     read = sitemaps(maps)
     seen = roots.select(F.col("sitemap_url").alias("root"), "sitemap_url").distinct()
     front = seen
-    for _ in range(most):
+    while True:
         found = front.join(read.filter("kind = 'sitemap_index'"), "sitemap_url").select("root", F.explode("sitemap_urls").alias("sitemap_url")).distinct()
         front = through_table(found.join(seen, ["root", "sitemap_url"], "left_anti"), "sitemaps")
         if front.isEmpty():
