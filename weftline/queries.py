@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import bpe
 from weftline.functions import robots as rb
 from weftline.functions import text as tx
 from weftline.functions import urls as ur
@@ -507,3 +508,70 @@ def queue_articles(s: SparkSession, sf: str) -> DataFrame:
     pages = T(s, sf, "fetch_results")
     items = flow.first_wins(_queue(s, sf).unionByName(pages.select(F.lit(None).cast("string").alias("id"), F.col("url").alias("link"), F.lit(None).cast("string").alias("title"), "source_name", F.col("page_id").alias("arrival"), F.lit(3).alias("producer"))), flow.seen_key(F.col("link"), F.col("id")), ["producer", "arrival"])
     return pl.process_queue(items, T(s, sf, "sources"), pages).select("link", "source_name", "title", "extraction_method")
+
+
+@query()
+def fallback_articles(s: SparkSession, sf: str) -> DataFrame:
+    pages, sources = T(s, sf, "fetch_results"), T(s, sf, "sources")
+    homes = pages.filter("source_name is not null and html is not null").groupBy("source_name").agg(F.min(F.struct("page_id", "url", "html")).alias("p"))
+    entry = sources.join(homes, F.col("name") == F.col("source_name")).select("name", F.col("p.url").alias("base_url"), F.lit(None).cast("string").alias("rss_feed"), "sections", "extraction_selectors")
+    return pl.fallback_crawl(entry, pages, F.lit(NOW).cast("timestamp"), 3650).select("source_name", "link", F.col("article.title").alias("title"), F.col("article.method").alias("method"))
+
+
+@query("""WITH s AS (SELECT DISTINCT name AS source_name, trim(rss_feed) AS feed_url FROM sources WHERE name IS NOT NULL AND trim(rss_feed) <> ''), i AS (SELECT trim(source_feed_url) AS feed_url, item_no, trim(link) AS link, nullif(trim(title), '') AS title FROM feed_items WHERE trim(link) <> ''),
+    j AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY source_name, feed_url || '#' || item_no) AS r FROM i JOIN s USING (feed_url)) SELECT source_name, link, title FROM j WHERE r = 1""")
+def feed_poll(s: SparkSession, sf: str) -> DataFrame:
+    """Every item as a feed of its own address, so that no feed is put together in one row."""
+    items = T(s, sf, "feed_items").select(F.trim("source_feed_url").alias("feed_url"), "item_no", "link", "title").filter("feed_url is not null")
+    tag = lambda n, v: F.coalesce(F.concat(F.lit(f"<{n}><![CDATA["), v, F.lit(f"]]></{n}>")), F.lit(""))
+    own = F.concat("feed_url", F.lit("#"), F.col("item_no").cast("string"))
+    feeds = items.select(own.alias("feed_url"), F.concat(F.lit("<rss><channel><item>"), tag("title", F.col("title")), tag("link", F.col("link")), F.lit("</item></channel></rss>")).alias("xml"))
+    named = T(s, sf, "sources").select("name", F.trim("rss_feed").alias("feed"))
+    sources = items.select("feed_url", own.alias("rss_feed")).join(named.filter("feed <> ''"), F.col("feed_url") == F.col("feed")).select("name", "rss_feed")
+    return pl.poll_feeds(sources, feeds, F.lit(NOW).cast("timestamp")).select("source_name", "link", "title")
+
+
+@query()
+def md_topics(s: SparkSession, sf: str) -> DataFrame:
+    return pl.topic_job(_md(s, sf)).select("doc_id", "no", "slug", F.md5("text").alias("text_md5"))
+
+
+@query()
+def md_unified_chunks(s: SparkSession, sf: str) -> DataFrame:
+    return pl.chunk_job(_md(s, sf), 300, merge=True).select("document", "id", "topic", "title", F.md5("text").alias("text_md5"))
+
+
+@query()
+def md_packed_chunks(s: SparkSession, sf: str) -> DataFrame:
+    return pl.pack_chunks(pl.chunk_job(_md(s, sf), 300)).select("document", "topic", "bin", "name", F.md5("text").alias("text_md5"))
+
+
+@query()
+def md_one_stage_chunks(s: SparkSession, sf: str) -> DataFrame:
+    return pl.chunk_records_one_stage(_md(s, sf), 300).select("doc_id", "id", "title", F.md5("text").alias("text_md5"))
+
+
+@query()
+def md_bpe_counts(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "md_sections").select("section_id", bpe.bpe_token_count(F.col("text")).alias("tokens"))
+
+
+@query(r"SELECT section_id, count(*) AS headings FROM (SELECT section_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line FROM md_sections) WHERE regexp_matches(line, '^#[ 	]+\S') GROUP BY section_id")
+def md_top_headings(s: SparkSession, sf: str) -> DataFrame:
+    return md.headings_at(_md(s, sf), 1).groupBy(F.col("doc_id").alias("section_id")).agg(F.count(F.lit(1)).alias("headings"))
+
+
+@query()
+def json_css_items(s: SparkSession, sf: str) -> DataFrame:
+    schema = {"baseSelector": "li", "fields": [{"name": "title", "selector": "a", "type": "text"}, {"name": "link", "selector": "a", "type": "attribute", "attribute": "href"}]}
+    return T(s, sf, "fetch_results").select("page_id", extract.by_json_css(F.col("html"), schema).alias("items")).filter("items is not null")
+
+
+@query("SELECT name, coalesce(llm_analysis_pending, extraction_selectors IS NULL OR cardinality(extraction_selectors) = 0) AS pending FROM sources")
+def sources_to_analyse(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "sources").select("name", flow.needs_analysis(F.col("llm_analysis_pending"), F.col("extraction_selectors")).alias("pending"))
+
+
+@query("SELECT event_id, '{\"event_id\":' || event_id || ',\"user_id\":' || coalesce(CAST(user_id AS VARCHAR), 'null') || ',\"event_type\":' || coalesce('\"' || event_type || '\"', 'null') || '}' AS json FROM events")
+def events_as_json(s: SparkSession, sf: str) -> DataFrame:
+    return T(s, sf, "events").select("event_id", flow.encode(F.struct("event_id", "user_id", "event_type")).alias("json"))
