@@ -44,8 +44,26 @@ def test_pieces_give_the_text_back_and_cut_at_natural_places(spark):
     assert split_sections(df, p.limit(0)).filter("n_pieces > 1").count() == 0
 
 
+def test_fences_hold_no_boundaries(spark):
+    """Comment lines and blank lines of code are neither headings nor paragraphs; real ones beside it are."""
+    code = "\n".join(f"value_{i} = {i}\n# step {i}\n" for i in range(14))
+    for fence in ("```", "~~~"):
+        text = f"## Before\n\nSome words of text.\n\n{fence}python\n{code}{fence}\n\n## After\n\n" + "More words of text here. " * 12
+        for t in (text, text.replace("\n", "\r\n"), text.replace("words", "w\U0001f600rds"), text[: text.rindex(fence)]):
+            got = sorted(split_sections(spark.createDataFrame([(1, t, 0, 9, None, "")], SECTION), profiles(spark, ("standard", 200, 20))).collect(), key=lambda r: r.piece_no)
+            check(got, t, 200, 20)
+            new = [r.text[r.overlap :] for r in got]
+            other = split_sections(spark.createDataFrame([(1, t.replace("# step", "x step"), 0, 9, None, "")], SECTION), profiles(spark, ("standard", 200, 20))).orderBy("piece_no").collect()
+            assert [len(r.text) for r in other] == [len(r.text) for r in got], (fence, new)
+            if t is text:
+                assert any(n.startswith("## After") for n in new)
+    plain = "intro words\n" * 12 + "# Title one\nbody\n" * 20
+    got = split_sections(spark.createDataFrame([(1, plain, 0, 9, None, "")], SECTION), profiles(spark, ("standard", 200, 0))).collect()
+    assert any(r.text.startswith("# Title") for r in got)
+
+
 @settings(max_examples=4, deadline=None)
-@given(st.lists(st.text(alphabet="ab .\n\r#,!é😀", max_size=400), min_size=5, max_size=5))
+@given(st.lists(st.text(alphabet="ab .\n\r#,!é😀`~", max_size=400), min_size=5, max_size=5))
 def test_any_text(spark, texts):
     df = spark.createDataFrame([(i, t, 0, 1, None, "") for i, t in enumerate(texts)], SECTION)
     got = split_sections(df, profiles(spark, ("standard", 30, 9))).collect()

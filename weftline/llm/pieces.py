@@ -4,6 +4,9 @@ One regular expression per profile does the cutting: alternatives ordered by the
 paragraph, line, sentence, clause, blank), each a bounded quantifier up to the limit, with bare characters as the last
 resort. Its matches are the new text of the pieces, side by side without gaps; the overlap is looked back from the piece
 before with array functions. Everything stays in the JVM and in the row: no shuffle.
+
+The expression reads stand-ins of equal length where characters would mislead it: within fenced code a line that begins like a
+heading is none, and a blank line parts no paragraphs. The pieces are then cut from the text as stored.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ DEFAULT_PROFILE = "standard"
 #: Profiles are broadcast only up to this many rows.
 PROFILE_ROWS = 100_000
 
+# A fence runs from a line of three back-ticks or tildes to the next line that begins so, or to the end.
+_FENCE = r"(?ms)^ {0,3}(?:(```)[^`\r\n]*|(~~~)[^\r\n]*)$.*?(?:^ {0,3}(?:\1|\2)[^\r\n]*$|\z)"
 _BREAK = r"(?:\r\n|\n|\r)"
-_INSIDE = r"(?!(?<=\r)\n)"  # not between the two characters of one line end
+_INSIDE = r"(?!(?<=[\r\ufffc])\n)"  # not between the two characters of one line end
 # {X}: limit of new characters; {H}, {Q}: a half and a third of it, the least that strong boundaries must fill.
 _ALTERNATIVES = [
     r".{1,X}\z",
@@ -65,6 +70,18 @@ def _breaks(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(_BREAK), F.lit(0)))
 
 
+def _unmarked(text: Column) -> Column:
+    """The text with stand-ins for what looks like a heading or a blank line within its fences; every character keeps its place."""
+    fences, rest = F.regexp_extract_all(text, F.lit(_FENCE), F.lit(0)), F.split(text, _FENCE)
+
+    def plain(c: Column) -> Column:
+        for pattern, sign in ((r"(?m)^#", "\ufffd"), (r"(?<=[\r\n])[ \t](?=[ \t]*[\r\n])", "\ufffd"), (r"(?<=\n)\r(?=\n)", "\ufffc"), (r"(?<=\n)\n|(?<=\r)\r", "\ufffd")):
+            c = F.regexp_replace(c, pattern, sign)
+        return c
+
+    return F.array_join(F.transform(rest, lambda r, i: F.when(i < F.size(fences), F.concat(r, plain(fences[i]))).otherwise(r)), "")
+
+
 def split_sections(sections: DataFrame, profiles: DataFrame) -> DataFrame:
     """section_id, piece_no, n_pieces, text, overlap, start_line, end_line: every section as pieces of at most max_chars.
 
@@ -87,11 +104,15 @@ def split_sections(sections: DataFrame, profiles: DataFrame) -> DataFrame:
     s = s.join(usual, F.col("__profile").isNull() & (F.col("__profile_u") == DEFAULT_PROFILE), "left")
     s = s.select("section_id", "__text", "__a", "__b", *[F.when(F.col("__profile").isNotNull(), F.col(c)).otherwise(F.col(c + "_u")).alias(c) for c in ("__max", "__overlap", "__pattern")])
     # Characters of two code units would make the bounded quantifiers recurse, so stand-ins take their places.
-    wide = F.col("__text").rlike(r"[\x{10000}-\x{10FFFF}]")
-    flat = F.when(wide, F.regexp_replace("__text", r"[\x{10000}-\x{10FFFF}]", "�")).otherwise(F.col("__text"))
-    s = s.withColumn("__wide", wide).withColumn("__parts", F.when(F.col("__max").isNull() | (F.length("__text") <= F.col("__max")), F.array("__text")).otherwise(F.regexp_extract_all(flat, F.col("__pattern"), F.lit(0))))
-    recut = F.aggregate("__parts", F.struct(F.col("__text").alias("rest"), F.array().cast("array<string>").alias("out")), lambda a, p: F.struct(F.substring(a.rest, F.length(p) + 1, F.lit(2147483647)).alias("rest"), F.concat(a.out, F.array(F.left(a.rest, F.length(p)))).alias("out")), lambda a: a.out)
-    s = s.withColumn("__parts", F.when(F.col("__wide") & (F.size("__parts") > 1), recut).otherwise(F.col("__parts")))
+    wide, fenced = F.col("__text").rlike(r"[\x{10000}-\x{10FFFF}]"), F.col("__text").rlike(r"(?m)^ {0,3}(?:```|~~~)")
+    flat = F.when(wide, F.regexp_replace("__text", r"[\x{10000}-\x{10FFFF}]", "\ufffd")).otherwise(F.col("__text"))
+    s = s.withColumn("__other", wide | fenced).withColumn("__flat", F.when(fenced & (F.length("__text") > F.col("__max")), _unmarked(flat)).otherwise(flat))
+    s = s.withColumn("__parts", F.when(F.col("__max").isNull() | (F.length("__text") <= F.col("__max")), F.array("__text")).otherwise(F.regexp_extract_all("__flat", F.col("__pattern"), F.lit(0))))
+    # Where there are stand-ins the pieces are cut from the text as stored, by running offsets.
+    ends = F.aggregate("__parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, p: F.struct((a.at + F.length(p)).alias("at"), F.concat(a.out, F.array(a.at + F.length(p))).alias("out")), lambda a: a.out)
+    s = s.withColumn("__ends", F.when(F.col("__other") & (F.size("__parts") > 1), ends))
+    recut = F.transform("__ends", lambda e, i: F.substring(F.col("__text"), F.when(i == 0, 1).otherwise(F.get("__ends", i - 1) + 1), e - F.when(i == 0, 0).otherwise(F.get("__ends", i - 1))))
+    s = s.withColumn("__parts", F.coalesce(recut, F.col("__parts")))
     piece = "array<struct<text:string,overlap:int,first:int,last:int>>"
 
     def step(a: Column, new: Column) -> Column:
