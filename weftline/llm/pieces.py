@@ -70,6 +70,11 @@ def _breaks(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(_BREAK), F.lit(0)))
 
 
+def _settled(s: DataFrame, name: str) -> DataFrame:
+    """The same rows; a generator keeps the column from being worked out again wherever it is used or filtered on."""
+    return s.select(*[c for c in s.columns if c != name], F.explode(F.array(name)).alias(name))
+
+
 def _unmarked(text: Column) -> Column:
     """The text with stand-ins for what looks like a heading or a blank line within its fences; every character keeps its place."""
     fences, rest = F.regexp_extract_all(text, F.lit(_FENCE), F.lit(0)), F.split(text, _FENCE)
@@ -108,11 +113,12 @@ def split_sections(sections: DataFrame, profiles: DataFrame) -> DataFrame:
     flat = F.when(wide, F.regexp_replace("__text", r"[\x{10000}-\x{10FFFF}]", "\ufffd")).otherwise(F.col("__text"))
     s = s.withColumn("__other", wide | fenced).withColumn("__flat", F.when(fenced & (F.length("__text") > F.col("__max")), _unmarked(flat)).otherwise(flat))
     s = s.withColumn("__parts", F.when(F.col("__max").isNull() | (F.length("__text") <= F.col("__max")), F.array("__text")).otherwise(F.regexp_extract_all("__flat", F.col("__pattern"), F.lit(0))))
+    s = _settled(s, "__parts")
     # Where there are stand-ins the pieces are cut from the text as stored, by running offsets.
     ends = F.aggregate("__parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, p: F.struct((a.at + F.length(p)).alias("at"), F.concat(a.out, F.array(a.at + F.length(p))).alias("out")), lambda a: a.out)
     s = s.withColumn("__ends", F.when(F.col("__other") & (F.size("__parts") > 1), ends))
     recut = F.transform("__ends", lambda e, i: F.substring(F.col("__text"), F.when(i == 0, 1).otherwise(F.get("__ends", i - 1) + 1), e - F.when(i == 0, 0).otherwise(F.get("__ends", i - 1))))
-    s = s.withColumn("__parts", F.coalesce(recut, F.col("__parts")))
+    s = _settled(s.withColumn("__parts", F.coalesce(recut, F.col("__parts"))), "__parts")
     piece = "array<struct<text:string,overlap:int,first:int,last:int>>"
 
     def step(a: Column, new: Column) -> Column:
@@ -128,6 +134,7 @@ def split_sections(sections: DataFrame, profiles: DataFrame) -> DataFrame:
         return F.struct(text.alias("piece"), end.alias("line"), F.concat(a.out, F.array(row)).alias("out"))
 
     s = s.withColumn("__pieces", F.aggregate("__parts", F.struct(F.lit("").alias("piece"), F.lit(0).alias("line"), F.array().cast(piece).alias("out")), step, lambda a: a.out))
+    s = _settled(s, "__pieces")
     lines = F.try_element_at(F.col("__pieces"), F.lit(-1))["last"]
     base = F.when(F.col("__a").isNotNull(), F.least("__a", F.coalesce("__b", "__a"))).otherwise(F.col("__b") - lines)
     s = s.select("section_id", F.size("__pieces").alias("n_pieces"), base.alias("__base"), F.posexplode("__pieces").alias("__no", "p"))
