@@ -147,6 +147,8 @@ def test_polls_crawls_and_scans(spark):
     sources = spark.createDataFrame([("a", "https://a.example", "http://f/1", None, None, None), ("b", "https://b.example", " ", [("s", "https://b.example/s")], {"article_title_selector": "h2", "article_content_selector": "p"}, None), ("c", "https://example.com/", None, None, None, True)], src)
     got = pl.poll_feeds(sources, spark.createDataFrame([("http://f/1", xml)], "feed_url string, xml string"), now).collect()
     assert {(r.source_name, r.link) for r in got} == {("a", "http://e.example/1"), ("a", "http://e.example/3")}
+    late = F.lit(dt.datetime(2024, 1, 2, 20))
+    assert [(r.domain, r.feeds) for r in pl.discover_sources(spark.createDataFrame([("http://f/1", xml)], "feed_url string, xml string"), sources, late).collect()] == [("e.example", ["http://f/1"])]
     pages = spark.createDataFrame([(1, "https://b.example", "<h2>T</h2><p>x</p>"), (2, "https://b.example/s", "<h2>S</h2><p>y</p>"), (3, "https://a.example", "<h2>no</h2><p>z</p>")], "page_id long, url string, html string")
     assert {(r.link, r.article.method) for r in pl.fallback_crawl(sources, pages, now).collect()} == {("https://b.example", "custom_css"), ("https://b.example/s", "custom_css")}
     done = {r.name: r for r in pl.analyse_source(sources, "c", F.lit("<p>"), ["title"]).collect()}

@@ -59,25 +59,31 @@ def allowed(urls: DataFrame, rule_rows: DataFrame, agent: str) -> DataFrame:
     return u.join(r, u["__a"] == r["authority"], "left").select(*urls.columns, F.coalesce(first["allow"] | (first["path"] == ""), F.lit(True)).alias("allowed"))
 
 
+# What robots files, terms and home pages say of permission, and how feeds, map entries and terms are written.
+_FORBIDS, _GRANTS, _FORBIDS_SCRAPING, _OFFERS = r"(?i)disallow:\s*/", r"(?i)creative\s+commons", r"(?i)scrap|no scraping", "(?i)api"
+_FEED = r"(?i)<link[^>]+type=[\"']application/rss\+xml[\"'][^>]+href=[\"']([^\"']+)[\"']"
+_LOC, _TERMS = "<loc>([^<]+)</loc>", r"(?i)href=[\"']([^\"']*(?:terms|tos)[^\"']*)[\"']"
+
+
 def permission(robots: Column, home: Column, tos: Column, feeds: Column, prior: Column) -> Column:
     """Class of a site: red if robots forbids anything or the terms forbid scraping, green if they grant Creative Commons, or if the
     class is still yellow and the home page names an interface or a feed a free licence; else what it was, yellow at first."""
     before = F.lower(F.coalesce(prior, F.lit("yellow")))
-    first = F.when(robots.rlike(r"(?i)disallow:\s*/"), "red").otherwise(before)
-    second = F.when(tos.rlike(r"(?i)creative\s+commons"), "green").when(tos.rlike(r"(?i)scrap|no scraping"), "red").otherwise(first)
-    free = F.coalesce(home.rlike("(?i)api"), F.lit(False)) | F.coalesce(F.exists(feeds, lambda f: F.contains(F.lower(f), F.lit("creativecommons"))), F.lit(False))
+    first = F.when(robots.rlike(_FORBIDS), "red").otherwise(before)
+    second = F.when(tos.rlike(_GRANTS), "green").when(tos.rlike(_FORBIDS_SCRAPING), "red").otherwise(first)
+    free = F.coalesce(home.rlike(_OFFERS), F.lit(False)) | F.coalesce(F.exists(feeds, lambda f: F.contains(F.lower(f), F.lit("creativecommons"))), F.lit(False))
     return F.when((second == "yellow") & free, "green").otherwise(second)
 
 
 def rss_links(home: Column) -> Column:
-    return F.regexp_extract_all(home, F.lit(r"(?i)<link[^>]+type=[\"']application/rss\+xml[\"'][^>]+href=[\"']([^\"']+)[\"']"), F.lit(1))
+    return F.regexp_extract_all(home, F.lit(_FEED), F.lit(1))
 
 
 def sitemap_locs(xml: Column) -> Column:
-    return F.regexp_extract_all(xml, F.lit("<loc>([^<]+)</loc>"), F.lit(1))
+    return F.regexp_extract_all(xml, F.lit(_LOC), F.lit(1))
 
 
 def terms_link(home: Column, base: Column) -> Column:
     """Address of the terms of service: the first link that names terms or tos."""
-    href = F.nullif(F.regexp_extract(home, r"(?i)href=[\"']([^\"']*(?:terms|tos)[^\"']*)[\"']", 1), F.lit(""))
+    href = F.nullif(F.regexp_extract(home, _TERMS, 1), F.lit(""))
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), F.ltrim(href, F.lit("/"))))

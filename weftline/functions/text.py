@@ -47,14 +47,20 @@ def topic_from_filename(path: Column) -> Column:
     return F.array_join(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), "_")
 
 
+# The marks of version, date, description and purpose lines.
+_VERSION = r"Library Version Context:[ \t]*(\S+)"
+_DATED, _DATE = r"(?m)^.*(?:Context|Date|date).*?(\d{4}-\d{2}-\d{2})", r"(?m)^\s*(\d{4}-\d{2}-\d{2})\s*$"
+_DESCRIPTION, _PURPOSE = r"(?m)^\*[ \t]*Description:[ \t]*(.+)$", r"(?m)^\*\*[ \t]*[0-9.]+[ \t]*Purpose:[ \t]*(.+)$"
+
+
 def version_context(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"Library Version Context:[ \t]*(\S+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, _VERSION, 1), F.lit(""))
 
 
 def outline_date(text: Column) -> Column:
     """A date on a version-context or outline line, else a line that is just a date among the first ten; stays text."""
     first = F.array_join(F.slice(lines(text), 1, 10), "\n")
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?m)^.*(?:Context|Date|date).*?(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.nullif(F.regexp_extract(first, r"(?m)^\s*(\d{4}-\d{2}-\d{2})\s*$", 1), F.lit("")))
+    return F.coalesce(F.nullif(F.regexp_extract(text, _DATED, 1), F.lit("")), F.nullif(F.regexp_extract(first, _DATE, 1), F.lit("")))
 
 
 def keywords(text: Column, extra_stop: list[str] | None = None, limit: int = 7) -> Column:
@@ -68,7 +74,7 @@ def keywords(text: Column, extra_stop: list[str] | None = None, limit: int = 7)
 
 def description(text: Column) -> Column:
     """The first description line, else the first numbered purpose line, else an empty text."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?m)^\*[ \t]*Description:[ \t]*(.+)$", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"(?m)^\*\*[ \t]*[0-9.]+[ \t]*Purpose:[ \t]*(.+)$", 1), F.lit("")), F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_extract(text, _DESCRIPTION, 1), F.lit("")), F.nullif(F.regexp_extract(text, _PURPOSE, 1), F.lit("")), F.lit(""))
 
 
 def is_header_only(text: Column, when_blank: bool = True) -> Column:

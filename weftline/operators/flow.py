@@ -88,6 +88,11 @@ def first_wins(items: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return best.select(*[F.col("__first")[c].alias(c) for c in items.columns])
 
 
+def first_n(items: DataFrame, order: list[str], n: int = 1000) -> DataFrame:
+    """The first n rows in that order, as a bounded result keeps them."""
+    return items.orderBy(*order).limit(n)
+
+
 def last_n(log: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The last n rows in that order (a bounded sort, nothing is collected)."""
     return log.orderBy(*[c.desc() for c in order]).limit(n)

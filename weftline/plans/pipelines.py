@@ -40,12 +40,14 @@ def process_queue(items: DataFrame, sources: DataFrame, pages: DataFrame) -> Dat
 
 
 def seed_pages(seeds: DataFrame, pages: DataFrame, robots: DataFrame, sources: DataFrame, agent: str = "*", n: int = 10, threshold: float | None = None) -> DataFrame:
-    """Articles behind the best links of seed pages: robots, links, score and top-n come before any page is read,
-    with the selectors of its source."""
+    """Articles behind the best links of seed pages: robots, links, score and top-n come before any page is read, with the
+    selectors of its source. Where pages have metadata, only those of a readable content type are read."""
     rules = rb.rules(robots)
     start = rb.allowed(seeds, rules, agent).filter("allowed").select("url")
     links = flow.top_links(rb.allowed(flow.page_links(pages.join(start, "url", "left_semi")), rules, agent).filter("allowed").drop("allowed"), n, threshold)
     hit = pages.join(links.select("url").distinct(), "url", "left_semi")
+    if "metadata" in pages.columns:
+        hit = hit.filter(flow.is_page_type(F.col("metadata")["content_type"]))
     a = extract.cascade(hit.join(selectors(sources), "source_name", "left"), "selectors")
     return a.filter(flow.sufficient(F.col("article.title"), F.col("article.text")))
 
@@ -86,6 +88,12 @@ def poll_feeds(sources: DataFrame, feeds: DataFrame, now: Column, days: int = 2)
     return flow.first_wins(items.select("feed_url", "no", "source_name", "id", "link", "title", "published_utc"), flow.seen_key(F.col("link"), F.col("id")), ["source_name", "feed_url", "no"])
 
 
+def discover_sources(feeds: DataFrame, known: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """domain, feeds: the domains of dated items of feeds(feed_url, xml) of the last hours that no known source has."""
+    items = rd.feed_items(feeds).filter(flow.recent_strict(F.timestamp_micros("published_utc"), now, hours))
+    return flow.new_domains(items.select("link", F.col("feed_url").alias("feed")), known)
+
+
 def fallback_crawl(sources: DataFrame, pages: DataFrame, now: Column, days: int = 2) -> DataFrame:
     """source_name, link and article of the entry pages of sources that have no feed; recent and sufficient ones, each link once."""
     entry = sources.filter(flow.needs_crawl(F.col("rss_feed")) & F.col("name").isNotNull()).select(F.col("name").alias("source_name"), F.posexplode(flow.entry_urls(F.col("base_url"), F.col("sections"))).alias("no", "link")).distinct()

@@ -143,7 +143,7 @@ def items_added_per_source(s: SparkSession, sf: str) -> DataFrame:
 
 @query(_QUEUE + ", o AS (SELECT link, producer, arrival FROM d WHERE r = 1 ORDER BY producer, arrival LIMIT 1000) SELECT * FROM o")
 def first_results_kept(s: SparkSession, sf: str) -> DataFrame:
-    return queue_first_wins(s, sf).select("link", "producer", "arrival").orderBy("producer", "arrival").limit(1000)
+    return flow.first_n(queue_first_wins(s, sf).select("link", "producer", "arrival"), ["producer", "arrival"])
 
 
 @query(f"SELECT item_no FROM feed_items WHERE fetched_at IS NULL OR fetched_at >= TIMESTAMPTZ '{NOW}+00' - INTERVAL 10 DAY")
