@@ -136,6 +136,8 @@ def test_new_batch_reads_a_share_of_the_history(spark, tmp_path, monkeypatch):
     assert 1 <= len(touched) <= 4 and sum(x.rows for x in touched) < 0.2 * sum(x.rows for run in f.runs for x in run if x.low[0] == "0")
     out = dedupe_batch(Forest.open(spark, str(tmp_path)), spark.createDataFrame([(9000, None, "https://paper0.example/news/0-story?utm_source=x", None), (9001, None, "https://new.example/1", None)], "item_no long, id string, link string, source_feed_url string"), 2)
     assert {(r.item_no, r.rep, r.accepted) for r in out.collect()} == {(9000, 0, False), (9001, 9001, True)}
+    f = Forest.open(spark, str(tmp_path))
+    assert f.add(entries(spark, [(1, "x.example/1")]).limit(0), 0).count() == 0 and Forest.open(spark, str(tmp_path)).steps == 3
 
 
 def test_near_duplicates_are_found_with_the_wanted_recall(spark, tmp_path):
