@@ -11,6 +11,7 @@ from weftline.functions.timestamps import with_instant
 from weftline.functions.urls import authority
 from weftline.operators import extract, flow
 from weftline.operators import markdown as md
+from weftline.session import through_table
 from weftline.sources import readers as rd
 
 
@@ -140,12 +141,13 @@ def topic_job(docs: DataFrame, least: int = 3, deepest: int = 2, threshold: floa
 def chunk_job(docs: DataFrame, limit: int = 1200, merge: bool = False, least: int = 3, deepest: int = 2, threshold: float = 0.9) -> DataFrame:
     """Chunk records (see chunk_records) of documents (doc_id, file_path, text) topic by topic; with merge, tiny neighbours of one
     section are joined and described anew."""
-    t = md.topics(docs, least, deepest, threshold).withColumn("topic_id", F.xxhash64("doc_id", "no"))
+    t = through_table(md.topics(docs, least, deepest, threshold).withColumn("topic_id", F.xxhash64("doc_id", "no")), "topics")
     c = chunk_records(t.join(docs.select("doc_id", "file_path"), "doc_id").select(F.col("topic_id").alias("doc_id"), "file_path", "text"), limit)
     c = c.drop("topic").join(t.select(F.col("topic_id").alias("doc_id"), F.col("slug").alias("topic"), F.col("doc_id").alias("document")), "doc_id")
     c = c.withColumn("id", F.regexp_replace(tx.chunk_id(F.col("topic"), F.lit("#"), F.col("start_line")), "#", F.regexp_extract("id", r"_sec([0-9.]+)_L\d+$", 1)))
     if not merge:
         return c
+    c = through_table(c, "chunks")
     m = md.merge_tiny(c.withColumn("place", F.struct("start_line", "id")), "doc_id", "place").select("doc_id", F.col("place.id").alias("id"), F.col("text").alias("__t"))
     kept = c.join(m, ["doc_id", "id"])
     return kept.withColumn("text", F.col("__t")).withColumn("keywords", tx.keywords(F.col("__t"))).withColumn("description", tx.description(F.col("__t"))).drop("__t")
