@@ -96,6 +96,19 @@ def test_equal_looking_pairs(spark):
     assert df.select(canonical(df.text, "").alias("t")).filter("t is null").count() == 1
 
 
+def test_classes_of_any_size_give_all_their_pairs(spark):
+    """One text with many copies and many texts with few, below and beyond the size of a cell and of 1000 documents."""
+    texts = ["Hello World"] * 1001 + ["Hello\u00a0World"] * 2 + ["Ηello World"]
+    looks = [f"{a}{b}{c}{d}" for a in "oоο" for b in "aа" for c in "eе" for d in "cс"]
+    rows = list(enumerate([*texts, *looks, *looks[:5], *["саme"] * 9, "same", "alone"]))
+    random.Random(4).shuffle(rows)
+    c = Canonical("")
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and a != b and c(a) == c(b)}
+    df = spark.createDataFrame([(i, t, "", "", "") for i, t in rows], DOC)
+    for cell in (4, 1000):
+        got = [(r.doc_id_a, r.doc_id_b) for r in equal_looking(df, "", cell=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 3300
+    assert {(r.doc_id_a, r.doc_id_b) for r in equal_looking(df, "").collect()} == want
 
 
 

@@ -212,10 +212,10 @@ def _held(path: str) -> Canonical:
     return Canonical(path)
 
 
-#: Hot classes whose hubs are broadcast at most.
+#: Hot keys whose rows are broadcast at most.
 MOST_HOT = 10_000
-#: Documents of one class up to which all its pairs are given; beyond, every document meets one of another text.
-ALL_PAIRS = 1000
+#: Documents of one cell, into which a larger class is cut so that no task has to pair a whole class.
+CELL = 1000
 
 
 def classes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -228,26 +228,54 @@ def classes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return d.filter(visible).select("doc_id", F.unhex(F.md5("__c")).alias("class_id"), F.unhex(F.md5("text")).alias("text_id"))
 
 
-def equal_looking(documents: DataFrame, path: str = VOCABULARY, all_pairs: int = ALL_PAIRS) -> DataFrame:
+def equal_looking(documents: DataFrame, path: str = VOCABULARY, all_pairs: int | None = None, cell: int = CELL) -> DataFrame:
     """doc_id_a < doc_id_b of documents whose texts look the same but are not equal character by character.
 
-    A class of up to all_pairs documents gives all its pairs. A larger one gives one pair for each of its documents, in linear
-    size: with the least document of the class if their texts differ, else with the least document of another text. So no
-    document and no text is left out; which documents look the same is told by classes.
+    Every class gives all its pairs, whatever its size; one of more than cell documents is paired cell by cell, with the same
+    result. Only a caller that names all_pairs gets less: a class beyond it gives one pair for each of its documents, with the
+    least document of the class if their texts differ, else with the least document of another text.
     """
     d = through_table(classes(documents, path), "lookalike")
     groups = d.groupBy("class_id", "text_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     every = groups.groupBy("class_id").agg(F.sum("n").alias("n"), F.min(F.struct("first", "text_id")).alias("hub"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    few = every.filter(F.col("n") <= all_pairs).select("class_id")
-    members = d.join(few, "class_id", "left_semi")
+    whole = cell if all_pairs is None else all_pairs
+    members = d.join(every.filter(F.col("n") <= whole).select("class_id"), "class_id", "left_semi")
     a, b = members.alias("a"), members.alias("b")
     pairs = a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.text_id") != F.col("b.text_id")) & (F.col("a.doc_id") < F.col("b.doc_id")))
     pairs = pairs.select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"))
-    many = every.filter(F.col("n") > all_pairs).select("class_id", "n", "hub")
-    other = groups.join(many, "class_id").filter("text_id <> hub.text_id").groupBy("class_id").agg(F.min("first").alias("other"))
+    many = every.filter(F.col("n") > whole)
+    return pairs.unionByName(_cell_pairs(d, groups, many, cell) if all_pairs is None else _hub_pairs(d, groups, many))
+
+
+def _cell_pairs(d: DataFrame, groups: DataFrame, many: DataFrame, cell: int) -> DataFrame:
+    """All pairs of large classes, cell with cell.
+
+    A text of more than cell documents has cells of its own, cut by doc_id and never paired with each other; the other texts of
+    a class share cells by text. So a key of the last join meets one cell with its class, and what it meets in vain is linear.
+    """
+    texts = groups.join(many.select("class_id"), "class_id", "left_semi").withColumn("own", F.col("n") > cell)
+    shared = texts.groupBy("class_id").agg(F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))).alias("rest"))
+    parts = F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("rest")) / cell).cast("int")
+    texts = texts.join(shared, "class_id").select("text_id", "n", F.when(F.col("own"), F.col("text_id")).otherwise(F.lit(b"")).alias("owner"), parts.alias("parts"))
+    hot = texts.filter(F.col("n") >= HOT_ROWS).limit(MOST_HOT + 1)
+    met = hot_split_join(d, texts, hot, "text_id") if 0 < hot.count() <= MOST_HOT else d.join(texts, "text_id")
+    part = F.pmod(F.when(F.length("owner") > 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("text_id")), F.col("parts"))
+    placed = met.select("doc_id", "class_id", "text_id", F.struct("owner", part.alias("part")).alias("cell"))
+    placed = through_table(placed, "lookalike-cells")
+    cells = placed.select("class_id", "cell").distinct()
+    x, y = cells.withColumnRenamed("cell", "low"), cells.withColumnRenamed("cell", "high")
+    meet = x.join(y, "class_id").filter((F.col("low") <= F.col("high")) & ((F.col("low.owner") != F.col("high.owner")) | (F.length("low.owner") == 0)))
+    left = placed.withColumnRenamed("cell", "low").join(meet, ["class_id", "low"])
+    right = placed.select("class_id", F.col("cell").alias("high"), F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"))
+    met = left.join(right, ["class_id", "high"]).filter((F.col("text_id") != F.col("__text")) & ((F.col("low") < F.col("high")) | (F.col("doc_id") < F.col("__doc"))))
+    return met.select(F.least("doc_id", "__doc").alias("doc_id_a"), F.greatest("doc_id", "__doc").alias("doc_id_b"))
+
+
+def _hub_pairs(d: DataFrame, groups: DataFrame, many: DataFrame) -> DataFrame:
+    """One pair for each document of large classes, in linear size."""
+    other = groups.join(many.select("class_id", "hub"), "class_id").filter("text_id <> hub.text_id").groupBy("class_id").agg(F.min("first").alias("other"))
     hubs = many.join(other, "class_id").select("class_id", "n", "hub", "other")
     hot = hubs.filter(F.col("n") >= HOT_ROWS).limit(MOST_HOT + 1)
     met = hot_split_join(d, hubs, hot, "class_id") if 0 < hot.count() <= MOST_HOT else d.join(hubs, "class_id")
     partner = F.when(F.col("text_id") == F.col("hub.text_id"), F.col("other")).otherwise(F.col("hub.first"))
-    met = met.select(F.least("doc_id", partner).alias("doc_id_a"), F.greatest("doc_id", partner).alias("doc_id_b")).distinct()
-    return pairs.unionByName(met)
+    return met.select(F.least("doc_id", partner).alias("doc_id_a"), F.greatest("doc_id", partner).alias("doc_id_b")).distinct()
