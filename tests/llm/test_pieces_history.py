@@ -140,6 +140,31 @@ def test_new_batch_reads_a_share_of_the_history(spark, tmp_path, monkeypatch):
     assert f.add(entries(spark, [(1, "x.example/1")]).limit(0), 0).count() == 0 and Forest.open(spark, str(tmp_path)).steps == 3
 
 
+def test_large_batch_takes_from_the_history_what_it_may_meet(spark, monkeypatch):
+    """Beyond the broadcast only entries with a mark go into the join: all partners, few others, at any number of words."""
+    from weftline.llm import history
+
+    held = entries(spark, [(i, f"paper{i % 9}.example/news/{i * 7919 % 10007}-story") for i in range(4000)]).selectExpr("labels[0] as prefix", "address as held", "item")
+    asked = entries(spark, [(i, f"paper{i % 9}.example/news/{i * 7919 % 10007}-story") for i in range(0, 8000, 20)]).selectExpr("address", "labels[0] as prefix")
+    for words in (500_000, 50):
+        monkeypatch.setattr(history, "MAX_MARKS", words)
+        passed = history._marked(held, asked.union(asked), 400)
+        assert {r.item for r in passed.collect()} >= set(range(0, 4000, 20)) and passed.columns == held.columns
+        assert passed.count() < (800 if words > 100 else 2000) and passed.join(asked, "prefix").filter("held = address").count() == 200
+
+
+def test_addresses_are_worked_out_once_a_row(spark):
+    """A filter behind them must not make them run twice."""
+    from weftline.llm.history import addressed
+
+    items = spark.createDataFrame([(1, None, "https://a.example/1?x=1+2", None), (2, None, None, None), (3, None, "/b", "https://a.example/rss")], "item long, id string, link string, source_feed_url string")
+    got = addressed(items).filter("address is not null")
+    assert len([x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "InArrow" in x or "Python" in x]) == 1
+    want = {1: canonical_address("https://a.example/1?x=1+2", None, None), 3: "a.example/b"}
+    assert {r.item: (r.address, r.labels) for r in got.collect()} == {i: (a, signatures([a])[0]) for i, a in want.items()}
+    assert canonical_address("https://a.example:x/r?to=https%3A%2F%2Fb.example%2F1", None, None) == "b.example/1" and addressed(items.limit(0)).count() == 0
+
+
 def test_near_duplicates_are_found_with_the_wanted_recall(spark, tmp_path):
     """Slugs with a changed letter or ending against history and batch, beside brute force over all pairs."""
     rng = random.Random(11)
